@@ -30,6 +30,7 @@ def build_session(cores: int | str = "*", app: str = "corpusloom") -> SparkSessi
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CORPUSLOOM_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
