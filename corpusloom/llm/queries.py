@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, pii, quality
+from corpusloom.llm import chat, mixing, packing, pii, quality, warc
 from corpusloom.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing query; installed on every executor, never copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_mix_sources(spark, sf_dir):
+    """All documents mixed to cyclic source weights."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark, sf_dir):
     """All conversations and one of control strings, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -16,6 +28,16 @@ def op2_chat_formatting(spark, sf_dir):
     return chat.chat_report(turns.unionByName(hostile))
 
 
+def op3_best_fit_packing(spark, sf_dir):
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_warc(spark, sf_dir):
+    """All pages written as WARC records and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_pii(spark, sf_dir):
     """Personal data in every whole text."""
     return pii.pii_report(table(spark, sf_dir, "documents"))
@@ -26,5 +48,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op5_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_formatting, op3_best_fit_packing, op4_warc, op5_pii, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
