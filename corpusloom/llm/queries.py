@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, mixing, packing, pii, quality, warc
+from corpusloom.llm import chat, embeddings, mixing, packing, pii, quality, simhash, warc
 from corpusloom.llm.common import table
 
 
@@ -43,10 +43,20 @@ def op5_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark, sf_dir):
+    """All embeddings, linked within their labels."""
+    return embeddings.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op9_simhash(spark, sf_dir):
+    """All documents with fingerprint and component."""
+    return simhash.simhash_report(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     """Quality rules with adaptive thresholds over all documents."""
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_formatting, op3_best_fit_packing, op4_warc, op5_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_formatting, op3_best_fit_packing, op4_warc, op5_pii, op6_embedding_dedup, op9_simhash, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
