@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, embeddings, mixing, packing, pii, quality, simhash, warc
+from corpusloom.llm import chat, embeddings, lines, mixing, packing, pii, quality, simhash, urls, warc
 from corpusloom.llm.common import table
 
 
@@ -48,6 +48,16 @@ def op6_embedding_dedup(spark, sf_dir):
     return embeddings.near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    """All documents with the numbers of their repeated lines."""
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark, sf_dir):
+    """All page urls judged by rules and language models."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark, sf_dir):
     """All documents with fingerprint and component."""
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
@@ -58,5 +68,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_formatting, op3_best_fit_packing, op4_warc, op5_pii, op6_embedding_dedup, op9_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_formatting, op3_best_fit_packing, op4_warc, op5_pii, op6_embedding_dedup, op7_line_dedup, op8_url_filter, op9_simhash, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
