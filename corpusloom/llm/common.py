@@ -29,6 +29,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def wrapped(df: DataFrame, **columns: str) -> DataFrame:
+    """The rows as one struct ``_doc``, beside the named columns: names of other columns cannot clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"), *[F.col(c).alias(n) for n, c in columns.items()])
+
+
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns behind a generator, which Catalyst does not fold back into their users.
 

@@ -24,7 +24,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import word_count, words
+from corpusloom.llm.common import word_count, words, wrapped
 from corpusloom.session import stored
 
 BLOCK = 256
@@ -155,11 +155,11 @@ def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, doc_id: s
 
     The one document at which a source's quota ends keeps the words taken, joined by spaces.
     """
-    columns = docs.columns
-    measured = sized(docs, text)
-    sources = stored(targets(source_sizes(measured, source), weights), "targets")
-    rows = passages(placed(measured, sources, doc_id, source), None)
+    measured = sized(wrapped(docs, doc_id=doc_id, text=text, source=source))
+    sources = stored(targets(source_sizes(measured), weights), "targets")
+    rows = passages(placed(measured, sources), None)
     slots = schedule(sources).select("sid", "block")
     whole = F.col("words") == F.col("_size")
-    cut = F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col("words").cast("int")), " ")
-    return rows.join(slots, ["sid", "block"], "left_semi").withColumn(text, F.when(whole, F.col(text)).otherwise(cut)).select(*columns)
+    cut = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("words").cast("int")), " ")
+    taken = F.when(whole, F.col("text")).otherwise(cut)
+    return rows.join(slots, ["sid", "block"], "left_semi").select(*[(taken if c == text else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])

@@ -95,7 +95,8 @@ def _accepted(kind: str, threshold: float) -> Column:
 
 def with_spans(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with ``pii``: an array of (kind, start, end, score), by kind as in KINDS and then by start."""
-    columns = df.columns
+    columns = [c for c in df.columns if c != "pii"]  # a column of that name is replaced
+    df = df.select(*columns)
     t = F.coalesce(F.col(text), F.lit(""))
     df = settled(df, **{f"_p_{k}": F.when(t.rlike(test), F.split(t, p, -1)) for k, (p, test, _, _) in KINDS.items()}, **{f"_h_{k}": F.when(t.rlike(test), F.regexp_extract_all(t, F.lit(p), F.lit(0))) for k, (p, test, _, _) in KINDS.items()})
     df = settled(df, **{f"_n_{k}": F.zip_with(F.slice(f"_p_{k}", 1, F.size(f"_h_{k}")), f"_h_{k}", lambda p, h: (F.length(p) + F.length(h)).cast("long")) for k in KINDS})

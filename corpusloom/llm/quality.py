@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE, settled, words
+from corpusloom.llm.common import SPACE, settled, words, wrapped
 from corpusloom.session import stored
 
 #: Relative width of a sketch bucket.
@@ -129,5 +129,7 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass, with their own columns."""
-    measured = stored(with_counts(docs, text), "quality")
-    return judged(measured, fences(sketches(measured, lang, source)), lang, source).where("kept").select(*docs.columns)
+    rows = wrapped(docs, text=text, lang=lang, source=source)
+    measured = stored(with_counts(rows).drop("text"), "quality")
+    kept = judged(measured, fences(sketches(measured))).where("kept")
+    return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

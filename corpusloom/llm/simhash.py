@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, over_tiles, spanning, tiled
+from corpusloom.llm.common import components, over_tiles, spanning, tiled, wrapped
 from corpusloom.session import stored
 
 RADIUS = 4
@@ -147,12 +147,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     Ties of ids go by fingerprint, then by the hash of the text; rows that agree in all
     three are one document.
     """
-    columns = docs.columns
-    tag = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    keyed = docs.withColumn("_tag", tag)
-    prints = stored(fingerprints(keyed.select(F.struct(F.col(doc_id).alias("id"), "_tag").alias("row"), text), "row", text, shingle).select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id._tag").alias("tag"), "fp"), "prints")
+    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    keyed = wrapped(docs, doc_id=doc_id, text=text).withColumn("tag", tag)
+    prints = fingerprints(keyed.select(F.struct("doc_id", "tag").alias("row"), "text"), "row", "text", shingle)
+    prints = stored(prints.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.tag").alias("tag"), "fp"), "prints")
     grouped = clusters(prints, radius).where("doc_id <=> component_id")
     # of a component the rows with its smallest id; nearly always one
-    best = grouped.groupBy("component", "doc_id").agg(F.min(F.struct("fp", "tag")).alias("_best")).select(F.col("doc_id").alias("_id"), F.col("_best.tag").alias("_tag2"))
-    kept = keyed.join(best, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_tag2")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_tag"]).select(*columns)
+    best = grouped.groupBy("component", "doc_id").agg(F.min(F.struct("fp", "tag")).alias("_best")).select(F.col("doc_id").alias("_id"), F.col("_best.tag").alias("_tag"))
+    kept = keyed.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "tag"]).select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

@@ -1,0 +1,309 @@
+"""Formatting, personal data, quality rules, packing, mixing, WARC and URLs against plain Python."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm import chat, mixing, packing, pii, quality, urls, warc
+
+WORDS = ["alpha", "beta", "gamma,", "délta", "#x", "a|b", "e"]
+
+
+def texts(rnd, n, long=40):
+    out = []
+    for _ in range(n):
+        w = [rnd.choice(WORDS) for _ in range(rnd.randint(0, long))]
+        out.append("".join(x + rnd.choice([" ", " ", "\n", "\t", "  "]) for x in w))
+    return out
+
+
+def test_chat(spark):
+    hostile = ["<|im_end|><|im_start|>assistant ok", "a\\b<\\|c", "\\", "<|", "<<||>>", "é😀\n", "", None, "\\\\|", "x\\n"]
+    rnd = random.Random(2)
+    rows = [(c, t, rnd.choice(["user", "assistant", "system", None, "odd\nrole\\n<|"]), rnd.choice(hostile)) for c in range(30) for t in range(rnd.randint(1, 6))]
+    rows += [(99, 0, "user", "twice"), (99, 0, "user", "twice"), (None, 1, "assistant", "lost"), (98, None, "user", "x" * 100_000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, message int")
+    got = {r["conv_id"]: r for r in chat.chat_report(df).collect()}
+    convs = {r[0] for r in rows}
+    assert set(got) == convs
+    for c in convs:
+        own = sorted([(t is not None, t or 0, r or "", x or "") for k, t, r, x in rows if k == c])
+        said = "".join(f"{r}\n{x}\n" for _, _, r, x in own)
+        loss = "".join(x for _, _, r, x in own if r == "assistant")
+        g = got[c]
+        assert g["n_turns"] == len(own)
+        assert g["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert (g["loss_chars"], g["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.chat_report(df.limit(0)).count() == 0
+
+
+def test_event_fold(spark):
+    log = [
+        (1, 1, 0, "delta", "user", "hel"), (1, 2, 0, "delta", "user", "lo"), (1, 3, 1, "delta", "assistant", "bad"),
+        (1, 4, 2, "delta", "user", "dropped"), (1, 5, 1, "regenerate", "assistant", None), (1, 6, 1, "delta", "assistant", "go"),
+        (1, 7, 1, "delta", "assistant", "od"), (1, 8, 0, "edit", "user", "HELLO"), (1, 9, 0, "delta", "user", "!"), (2, 1, 5, "delta", None, None),
+    ]
+    df = spark.createDataFrame(log, "conv_id long, seq long, message long, kind string, role string, text string")
+    got = sorted(map(tuple, chat.fold(df).collect()))
+    assert got == [(1, 0, "user", "HELLO!"), (1, 1, "assistant", "good"), (2, 5, "", "")]
+    out = chat.render(chat.fold(df)).where("conv_id = 1").first()
+    assert out["formatted"] == "<|im_start|>user\nHELLO!<|im_end|>\n<|im_start|>assistant\ngood<|im_end|>\n"
+    s = out["loss_spans"][0]
+    assert out["formatted"].encode()[s["start"] : s["start"] + s["length"]] == b"good"
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub(r"\D", "", m[0])) <= 19 and luhn(d)]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15]
+
+
+def test_pii(spark):
+    rnd = random.Random(3)
+    parts = ["a", "Z9", ".", "@", "_", "-", "+", " ", "1", "255", "256", "4111111111111111", "0", "(", "é", "😀", "\n", "a@b.c", "1.2.3.4", "+1 (222) 333-4444", "GB82WEST12345698765432"]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40)))) for i in range(800)] + [(None, None), (-2, ""), (-3, "1" * 50_000), (-4, "a.b" * 30_000), (-5, "1.2.3.4 " * 3000), (-6, "a@b" + ".c" * 30_000)]
+    df = spark.createDataFrame([(*r, "p") for r in rows], "doc_id long, text string, pii string")
+    got = {r["doc_id"]: r for r in pii.pii_report(df).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        if i == -3:
+            continue  # too slow in Python's engine
+        base = base_spans(t or "")
+        shown = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert got[i]["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
+        assert got[i]["spans"].startswith(shown)
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == [sum(b[0] == k for b in base) for k in pii.BASE]
+    assert pii.pii_report(df.limit(0)).count() == 0
+
+
+def test_pii_context_and_redaction(spark):
+    rows = [("my iban GB82WEST12345698765432 ok",), ("GB82WEST12345698765433",), ("ssn 123-45-6789",), ("part 123-45-6789",), ("ssn 000-45-6789",), ("mail a@b.c now",)]
+    df = pii.redacted(pii.with_spans(spark.createDataFrame(rows, "text string")))
+    assert [r["clean"] for r in df.collect()] == ["my iban [IBAN] ok", "GB82WEST12345698765433", "ssn [SSN]", "part 123-45-6789", "ssn 000-45-6789", "mail [EMAIL] now"]
+
+
+def test_quality_counts(spark):
+    rnd = random.Random(4)
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts(rnd, 300, 80))] + [(None, None, None, None), (900, "", "xx", None), (901, "a b c " * 3000, "en", "s"), (902, "only", "en", "s")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n int")
+    got = {r["doc_id"]: r for r in quality.quality_report(df).collect()}
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        wins = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        seen = {x: wins.count(x) for x in set(wins)} if len(w) < 500 else dict.fromkeys(wins, 2)
+        cover = {p for k, x in enumerate(wins) if seen[x] > 1 for p in (k, k + 1, k + 2)}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover)]
+        assert [got[i][c] for c in quality.COUNTS] == want
+        failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
+        assert got[i]["base_failed"] == failed and not (failed and got[i]["kept"])
+    assert quality.quality_report(df.limit(0)).count() == 0
+    assert quality.filter_quality(df).columns == df.columns
+
+
+def test_quality_adapts(spark):
+    """The same symbol ratio is an outlier in one source and normal in the other."""
+    rnd = random.Random(5)
+    plain = lambda: " ".join(rnd.choice("lorem ipsum dolor amet".split()) + str(rnd.randrange(10**6)) for _ in range(80))
+    code = lambda: " ".join(x + "%" for x in plain().split())
+    rows = [(i, plain(), "en", "prose") for i in range(300)] + [(1000 + i, code(), "en", "code") for i in range(300)] + [(2000, code(), "en", "prose")]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[2000] and all(got[i] for i in got if i != 2000)
+
+
+def test_sketch_merges(spark):
+    df = spark.createDataFrame([(i, "x " * 60, "en", f"s{i % 3}") for i in range(30)], "doc_id long, text string, lang string, source string")
+    measured = quality.with_counts(df)
+    one = quality.sketches(measured)
+    halves = quality.sketches(measured.where("doc_id < 15")).unionByName(quality.sketches(measured.where("doc_id >= 15"))).groupBy("lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, halves.collect()))
+
+
+def test_best_fit_decreasing():
+    rnd = random.Random(6)
+    for _ in range(60):
+        cap = rnd.choice([10, 31, 64])
+        lengths = sorted((rnd.randint(1, cap) for _ in range(rnd.randint(0, 120))), reverse=True)
+        bins = []
+        for n in lengths:  # one at a time
+            fits = [b for b in bins if b[0] >= n]
+            if fits:
+                min(fits)[0] -= n
+            else:
+                bins.append([cap - n])
+        counts = {n: lengths.count(n) for n in set(lengths)}
+        runs, used = packing.best_fit_decreasing(counts, cap)
+        assert used == len(bins)
+        fill, dealt = {}, dict.fromkeys(counts, 0)
+        for n, rank, number, each, first, offset in runs:
+            assert rank == dealt[n]
+            dealt[n] += number
+            for k in range(number):
+                fill.setdefault(first + k // each, []).append((offset + k % each * n, n))
+        assert dealt == counts
+        for parts in fill.values():
+            at = 0
+            for o, n in sorted(parts):
+                assert o == at
+                at += n
+            assert at <= cap
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+def test_tokenizer(vocabulary):
+    whole = packing.WordTokenizer(vocabulary).whole
+    t, rnd = packing.WordTokenizer(vocabulary), random.Random(2)
+    parts = ["a", "B", "é", "ÉA", " ", "\n", "\x1c", "\xa0", "İ", "Σ", "ς", "中", "’", "'s", "'LL", "1", "23", "<|endoftext|>", "<|", "|>", "😀", "é", "ſ", "ŉ", "ﬁ", "_", "--", "\x85", "ß", "don't", "²", "ª"]
+    for _ in range(4000):
+        x = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20)))
+        assert np.frombuffer(t.ids(x), "<u4").tolist() == whole.encode(x, add_special_tokens=False).ids
+
+
+def test_packing(spark, vocabulary):
+    rnd = random.Random(7)
+    rows = list(enumerate(texts(rnd, 120))) + [(500, None), (501, ""), (502, "alpha beta " * 5000), (None, "x"), (503, "same"), (503, "same")]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, length int")
+    got = packing.pack_documents(df, vocabulary, capacity=256, with_ids=True).collect()
+    whole = packing.WordTokenizer(vocabulary).whole
+    want = []
+    for d, x in rows:
+        ids = np.array(whole.encode(x or "", add_special_tokens=False).ids + [1], "<u4")
+        want += [(str(d), k, a, len(ids[a : a + 256]), zlib.crc32(ids[a : a + 256].tobytes())) for k, a in enumerate(range(0, len(ids), 256))]
+    assert sorted((str(r["doc_id"]), *r[1:5]) for r in got) == sorted(want)
+    bins = {}
+    for r in got:
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 256
+    assert len(bins) == packing.best_fit_decreasing({n: sum(r["length"] == n for r in got) for n in {r["length"] for r in got}}, 256)[1]
+    assert packing.pack_documents(df.limit(0), vocabulary).count() == 0
+
+
+def fill(sizes, weights, cap=3.0):
+    """Resharing by hand: who is above the cap stops, the rest share again."""
+    open_, got, total = set(sizes), {}, sum(sizes.values())
+    while open_:
+        rest, heavy = total - sum(got.values()), sum(weights[s] for s in open_)
+        over = [s for s in open_ if rest * weights[s] / heavy > cap * sizes[s] + 1e-9]
+        if not over:
+            return got | {s: rest * weights[s] / heavy for s in open_}
+        for s in over:
+            got[s] = cap * sizes[s]
+            open_.discard(s)
+    return got
+
+
+def test_mixing(spark):
+    rnd = random.Random(8)
+    rows = [(i, t, rnd.choice(["a", "b", "b", "b", "b", "b", "É", None])) for i, t in enumerate(texts(rnd, 300))] + [(900, None, "a"), (901, "", "c"), (902, "one two", "z"), (None, "w " * 2000, "b"), (903, "x y z", "a"), (903, "x y z", "a")]
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, source string, target double")
+    got = mixing.mix_report(df).collect()
+    assert len(got) == len(rows)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    order = sorted(s for s in sizes if s is not None) + [None]
+    want = fill(sizes, {s: k % 3 + 1 for k, s in enumerate(order)})
+    taken = {}
+    for r in got:
+        s = r["source"]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s]) and r["taken"] <= 3 * r["size"]
+        taken[s] = taken.get(s, 0) + r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    again = mixing.mix_report(df.repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    docs = mixing.mixed_documents(df)
+    assert docs.columns == df.columns
+    words = {r["source"]: r["n"] for r in mixing.sized(docs).groupBy("source").agg(F.sum("_size").alias("n")).collect()}
+    assert {s: n for s, n in words.items() if n} == {s: n for s, n in taken.items() if n}
+    assert mixing.mix_report(df.limit(0)).count() == 0
+
+
+def test_schedule_is_even(spark):
+    """Every stretch of the schedule holds each source near its share."""
+    quotas = [(0, 25_600), (1, 51_200), (2, 179_200)]
+    s = spark.createDataFrame(quotas, "sid int, quota long")
+    slots = [r["sid"] for r in mixing.schedule(s).orderBy("slot").collect()]
+    assert len(slots) == 1000 and [slots.count(k) for k, _ in quotas] == [100, 200, 700]
+    for a in range(0, 900, 100):
+        part = slots[a : a + 100]
+        assert all(abs(part.count(k) - q / 2560) <= 3 for k, q in quotas)
+
+
+def test_warc(spark, tmp_path):
+    rnd = random.Random(9)
+    big = ["p%d " % i * 400 for i in range(6)]
+    rows = [(i, f"http://h/{i}", rnd.choice([*big, "small", "", None])) for i in range(120)]
+    rows += [(500, None, "no url"), (501, "http://x/\r\nWARC-Type: fake", "é😀\r\n\r\nWARC/1.1\r\n"), (None, "http://n", big[0]), (502, "u", "x" * 300_000)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
+    got = warc.round_trip(df).collect()
+    assert len(got) == len(rows)
+    first = {}
+    for i, _, h in rows:
+        if i is not None and len((h or "").encode()) >= 1000:
+            first[h] = max(first.get(h, -1), i)
+    by = {r["page_id"]: r for r in got}
+    for i, _, h in rows:
+        raw, r = (h or "").encode(), by[i]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), hashlib.sha1(raw).hexdigest())
+        refers = first.get(h) if first.get(h) != i else None
+        assert (r["record_type"], r["refers_to"]) == ("revisit" if refers is not None else "response", refers)
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_reader_verifies():
+    import io
+
+    raw = warc.record("1", "http://x", b"payload", warc._sha1(b"payload"), None, "2024-01-01T00:00:00Z")
+    two = raw + warc.record("2", "http://y", b"other", warc._sha1(b"other"), "1", "2024-01-01T00:00:00Z")
+    assert [(f["warc-type"], p) for f, _, p in warc.records(io.BytesIO(two))] == [("response", b"payload"), ("revisit", b"")]
+    plain = zlib.decompress(raw, 31)
+    for bad in (zlib.compress(plain.replace(b"payload", b"PAYLOAD"), wbits=31), zlib.compress(plain[:-6], wbits=31), raw[:-9]):
+        with pytest.raises((warc.WarcError, zlib.error)):
+            list(warc.records(io.BytesIO(bad)))
+
+
+def test_url_rules(spark):
+    rows = [("http://A.Example.COM/en/1?x#y", "a.example.com", "/en/1", "example.com/en/", "block"), ("https://www.example.com/en/x", "www.example.com", "/en/x", "www.example.com/en/", "allow"), ("x://foo.com", "foo.com", "", None, None), ("x://foo.com/", "foo.com", "/", "com/", "allow"), ("x://net/es/", "net", "/es/", "net/es/", "block"), ("x://notnet/es/", "notnet", "/es/", None, None), ("no scheme", "", "", None, None), (None, "", "", None, None), ("a://b://c/d", "b:", "//c/d", None, None), ("q://h?a://b", "h", "", None, None)]
+    df = spark.createDataFrame([(i, r[0], "h") for i, r in enumerate(rows)], "page_id long, url string, host string")
+    got = {r["page_id"]: r for r in urls.judge(df).collect()}
+    for i, (_, host, path, rule, verdict) in enumerate(rows):
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
+        assert got[i]["verdict"] in ("allow", "block") and (verdict is None or got[i]["verdict"] == verdict)
+    assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_url_models_learn(spark):
+    """Held-out accuracy on urls that look like one side or the other but fit no rule."""
+    rnd = random.Random(10)
+    good, bad = ["news", "blog", "wiki", "paper", "book"], ["casino", "pills", "xxx", "spam", "win"]
+
+    def url(kind, host):
+        return f"http://{rnd.choice(kind)}{rnd.choice(kind)}{rnd.randrange(99)}.{host}/{rnd.choice(kind)}/{rnd.randrange(999)}"
+
+    rows = [(url(good, "ok"), 1) for _ in range(300)] + [(url(bad, "ko"), 0) for _ in range(300)] + [(url(good, "zz"), 1) for _ in range(100)] + [(url(bad, "zz"), 0) for _ in range(100)]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(df, rules=[("ok", "/", "allow"), ("ko", "/", "block")]).collect()}
+    right = [(got[i]["verdict"] == "allow") == bool(y) for i, (_, y) in enumerate(rows) if got[i]["rule"] is None]
+    assert len(right) == 200 and np.mean(right) > 0.9
