@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import shape as shapes
 from corpusloom.functions import text as T
+from corpusloom.functions import wellformed as W
 from corpusloom.operators.pools import keep_first, scoped_hash
 from corpusloom.plans import base as B
 from corpusloom.plans.catalog import query
@@ -38,14 +39,26 @@ def q_unterminated_quote(spark, d):
     return B.pool(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(T.unterminated_quote(F.col("command"))).alias("n_open"))
 
 
-_VIOLATED = ", ".join(f"CASE WHEN {x} THEN '{name}' END" for name, x in B.RULES_SQL.items())
+_NAMES = ", ".join(f"'{name}'" for name in B.RULES_SQL)
+_FLAGS = ", ".join(f"({x})::INT" for x in B.RULES_SQL.values())
 
 
-@query(f"""WITH {B.POOL_SQL}, v AS (SELECT source, unnest(list_filter([{_VIOLATED}], lambda x: x IS NOT NULL)) AS rule FROM pool)
-SELECT source, rule, count(*) AS n FROM v GROUP BY ALL""")
+@query(f"""WITH {B.POOL_SQL}, v AS (SELECT source, unnest([{_NAMES}]) AS rule, unnest([{_FLAGS}]) AS hit FROM pool)
+SELECT source, rule, count(*) AS n, sum(hit)::BIGINT AS violations FROM v GROUP BY ALL""")
 def q_wf_by_source(spark, d):
-    """Violations per source and rule: a row that breaks two rules counts in both."""
-    return B.pool(spark, d).select("source", F.explode("violations").alias("rule")).groupBy("source", "rule").agg(F.count("*").alias("n"))
+    """Rows and violations per source and rule: a row that breaks two rules counts in both."""
+    rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.array_contains("violations", name).cast("int").alias("hit")) for name in W.RULES])
+    rows = B.pool(spark, d).select("source", F.inline(rules))
+    return rows.groupBy("source", "rule").agg(F.count("*").alias("n"), F.sum("hit").alias("violations"))
+
+
+@query(f"""WITH l AS (SELECT unnest(string_split(html, chr(10))) AS raw FROM pages), c AS (SELECT raw, trim(raw) AS command FROM l), v AS (SELECT unnest([{_NAMES}]) AS rule, unnest([{_FLAGS}]) AS hit FROM c)
+SELECT rule, count(*) AS n, sum(hit)::BIGINT AS violations FROM v GROUP BY rule""")
+def q_wf_pages(spark, d):
+    """The rules over lines of raw pages, where markup and other debris abound."""
+    rows = readers.lines_of(readers.table(spark, d, "pages"), "html").withColumn("command", F.trim("raw"))
+    rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.array_contains("violations", name).cast("int").alias("hit")) for name in W.RULES])
+    return W.well_formed(rows).select(F.inline(rules)).groupBy("rule").agg(F.count("*").alias("n"), F.sum("hit").alias("violations"))
 
 
 @query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{B.IP_SQL}', 'ADDR', 'g'), '\\bh[0-9a-f]{{8}}\\.example\\.net\\b', 'HOST', 'g')) AS digest FROM documents")

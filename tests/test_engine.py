@@ -266,4 +266,4 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert e.entry(spark).columns == ["source", "rule", "n"]
+    assert e.entry(spark).columns == ["source", "rule", "n", "violations"]
