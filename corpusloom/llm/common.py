@@ -29,6 +29,19 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+#: A side of a join with more rows than this is not broadcast.
+SMALL = 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is counted to have at most ``SMALL`` rows.
+
+    Else it takes part in joins as any other. For tables with a row per source: without
+    the mark the wide side would be shuffled by source before Spark knows their size.
+    """
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def wrapped(df: DataFrame, **columns: str) -> DataFrame:
     """The rows as one struct ``_doc``, beside the named columns: names of other columns cannot clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"), *[F.col(c).alias(n) for n, c in columns.items()])

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE, settled, words, wrapped
+from corpusloom.llm.common import SPACE, settled, small, words, wrapped
 from corpusloom.session import stored
 
 #: Relative width of a sketch bucket.
@@ -123,7 +123,7 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Counts, base_failed and kept per document; the counts are written once and judged from the table."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     measured = stored(with_counts(narrow).drop("text"), "quality")
-    out = judged(measured, fences(sketches(measured)))
+    out = judged(measured, small(stored(fences(sketches(measured)), "fences")))
     return out.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in COUNTS], F.col("q_base_failed").alias("base_failed"), "kept")
 
 
@@ -131,5 +131,5 @@ def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", sour
     """The documents that pass, with their own columns."""
     rows = wrapped(docs, text=text, lang=lang, source=source)
     measured = stored(with_counts(rows).drop("text"), "quality")
-    kept = judged(measured, fences(sketches(measured))).where("kept")
+    kept = judged(measured, small(stored(fences(sketches(measured)), "fences"))).where("kept")
     return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
