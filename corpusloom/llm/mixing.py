@@ -24,7 +24,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import word_count, words, wrapped
+from corpusloom.llm.common import small, word_count, words, wrapped
 from corpusloom.session import stored
 
 BLOCK = 256
@@ -68,7 +68,7 @@ def targets(sizes: DataFrame, weights: DataFrame | None = None, share: float = 1
 def placed(docs: DataFrame, sources: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """``docs`` (with ``_size``) with sid, source_size, target, quota and ``_start``, the place in the source's stream."""
     s = sources.select("sid", F.col("source").alias("_source"), "source_size", "target", "quota")
-    docs = docs.join(s, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+    docs = docs.join(small(s), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
     docs = docs.withColumn("_order", F.xxhash64(F.col(doc_id), F.lit("mix"))).withColumn("_bucket", F.shiftright("_order", 54))
     sums = docs.groupBy("sid", "_bucket").agg(F.sum("_size").alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
