@@ -24,7 +24,7 @@ component unless all its members' ids are null. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -46,11 +46,11 @@ TILE = 1024
 BATCH = 1 << 18
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text, unsigned."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles in order, in batches; none for a text without words."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the contract's white space
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -58,12 +58,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    total = np.zeros(64, np.int64)
     for k in range(0, len(starts), BATCH):
         parts = [joined[a:b] for a, b in zip(starts[k : k + BATCH].tolist(), ends[k : k + BATCH].tolist(), strict=True)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts))
+        yield np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one text, unsigned."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        n += len(hashes)
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(starts), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -126,10 +132,10 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return over_tiles(rows, "key", work, "a long, b long")
 
 
-def clusters(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def clusters(prints: DataFrame, linked: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """A written table of (doc_id, fp) with component (a fingerprint) and component_id, the smallest doc_id reachable by links."""
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    joined = components(links(distinct, radius))
+    joined = components(linked(distinct))
     named = distinct.join(joined.select(F.col("id").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return prints.join(named.select("fp", "component").join(least, "component").select("fp", "component", "component_id"), "fp")
@@ -138,7 +144,7 @@ def clusters(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def simhash_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """Per document: fingerprint as 16 hex digits and component_id."""
     prints = stored(fingerprints(docs, doc_id, text, shingle), "prints")
-    return clusters(prints, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return clusters(prints, lambda distinct: links(distinct, radius)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -151,7 +157,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     keyed = wrapped(docs, doc_id=doc_id, text=text).withColumn("tag", tag)
     prints = fingerprints(keyed.select(F.struct("doc_id", "tag").alias("row"), "text"), "row", "text", shingle)
     prints = stored(prints.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.tag").alias("tag"), "fp"), "prints")
-    grouped = clusters(prints, radius).where("doc_id <=> component_id")
+    return first_of_each(docs, keyed, clusters(prints, lambda distinct: links(distinct, radius)))
+
+
+def first_of_each(docs: DataFrame, keyed: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of ``docs``, wrapped as ``keyed``, the document of each component with the smallest id."""
+    grouped = grouped.where("doc_id <=> component_id")
     # of a component the rows with its smallest id; nearly always one
     best = grouped.groupBy("component", "doc_id").agg(F.min(F.struct("fp", "tag")).alias("_best")).select(F.col("doc_id").alias("_id"), F.col("_best.tag").alias("_tag"))
     kept = keyed.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left_semi")
