@@ -4,7 +4,8 @@ Only DataFrame functions. The log holds events of conversations: (conv_id, seq,
 message, kind, role, text). They are partitioned by conversation, ordered by seq
 and folded: ``delta`` appends text to its message, ``edit`` replaces the message's
 text, ``regenerate`` empties the message and drops every later message begun before
-it. The final messages are rendered with turn marks and a loss mask.
+it, with what still arrives for those. A message's role is the first one that any of its
+events names. The final messages are rendered with turn marks and a loss mask.
 
 The template is ``<|im_start|>role`` newline ``text<|im_end|>`` newline per turn.
 Inside roles and texts a backslash becomes two and ``<|`` becomes ``<\\|``, so no
@@ -39,13 +40,15 @@ def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, message, role, text) of an event log; one shuffle, by conversation."""
     later = Window.partitionBy("conv_id").orderBy("seq", "message", "text").rowsBetween(1, Window.unboundedFollowing)
     cut = F.min(F.when(F.col("kind") == "regenerate", F.col("message"))).over(later)
-    own = Window.partitionBy("conv_id", "message").orderBy("seq", "text")
+    whole = Window.partitionBy("conv_id", "message")
+    own = whole.orderBy("seq", "text")
     reset = F.sum(F.when(F.col("kind").isin("edit", "regenerate"), 1).otherwise(0)).over(own)
-    live = events.withColumn("_cut", cut).where("_cut is null or message <= _cut").withColumn("_reset", reset)
-    last = F.max("_reset").over(Window.partitionBy("conv_id", "message"))
-    live = live.withColumn("_last", last).where("_reset = _last")
+    began = F.first("_cut").over(own)  # what is regenerated after the message began
+    named = F.first("role", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    live = events.withColumn("_cut", cut).withColumns({"_began": began, "_role": named, "_reset": reset}).where("_began is null or message <= _began")
+    live = live.withColumn("_last", F.max("_reset").over(whole)).where("_reset = _last")
     ordered = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))))
-    out = live.groupBy("conv_id", "message").agg(F.min_by("role", "seq").alias("role"), ordered.alias("_t"))
+    out = live.groupBy("conv_id", "message").agg(F.first("_role").alias("role"), ordered.alias("_t"))
     return out.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.array_join(F.transform("_t", lambda x: x["text"]), "").alias("text"))
 
 

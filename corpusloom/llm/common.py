@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -77,23 +78,30 @@ def running_totals(lengths: Column, width: int = 256) -> Column:
 # --- tiles -------------------------------------------------------------------
 
 
-def tiled(rows: DataFrame, key: str, ident: str, side: int) -> DataFrame:
-    """Deal the rows of every key of two rows or more into tiles.
+#: Comparisons of a task that works on tiles.
+TASK_PAIRS = 1 << 26
+
+
+def tiled(rows: DataFrame, key: str, ident: str, side: int) -> tuple[DataFrame, int]:
+    """Deal the rows of every key of two rows or more into tiles; with the number of tasks that their work asks for.
 
     A key of at most ``side`` rows is one tile. A larger one is dealt by hash into
     chunks of about ``side`` rows, with one tile for each pair of chunks, so that any
     two rows of a key meet in a tile, no task holds a whole large key, and the rows
-    that meet are never written out as pairs. Adds chunk, lo and hi (the tile).
+    that meet are never written out as pairs. Adds chunk, lo and hi (the tile). Tasks
+    follow the pairs of rows that meet, as bytes say little of quadratic work.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+    sizes = stored(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1"), "sizes")
+    pairs = sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_n"))).first()[0] or 0.0
     chunks = F.ceil(F.col("_n") / F.lit(side)).cast("int")
-    dealt = rows.join(sizes, key).withColumn("chunk", F.when(F.col("_n") <= side, 0).otherwise(F.pmod(F.xxhash64(ident, F.lit("tile")), chunks).cast("int")))
+    dealt = rows.join(small(sizes), key).withColumn("chunk", F.when(F.col("_n") <= side, 0).otherwise(F.pmod(F.xxhash64(F.lit("tile"), ident), chunks).cast("int")))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    return dealt.withColumns({"lo": F.least("chunk", "_other"), "hi": F.greatest("chunk", "_other")}).drop("_n", "_other")
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / TASK_PAIRS))
+    return dealt.withColumns({"lo": F.least("chunk", "_other"), "hi": F.greatest("chunk", "_other")}).drop("_n", "_other"), tasks
 
 
-def over_tiles(rows: DataFrame, key: str, work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
-    """Run ``work`` once per tile, streaming through partitions sorted by tile.
+def over_tiles(dealt: tuple[DataFrame, int], key: str, work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+    """Run ``work`` once per tile of ``tiled``, streaming through partitions sorted by tile.
 
     Cheaper than a grouped map for many small tiles; memory is one batch and one tile.
     """
@@ -134,8 +142,8 @@ def over_tiles(rows: DataFrame, key: str, work: Callable[[pd.DataFrame], pd.Data
         if out:
             yield pd.concat(out, ignore_index=True)
 
-    dealt = rows.repartition(*names).sortWithinPartitions(*names)
-    return dealt.mapInPandas(run, schema)
+    rows, tasks = dealt
+    return rows.repartition(tasks, *names).sortWithinPartitions(*names).mapInPandas(run, schema)
 
 
 def spanning(n: int, linked: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:

@@ -3,17 +3,18 @@
 Every source is one stream: its documents in hashed order, end to end, repeated when
 the target asks for more than it has. Streams are cut into blocks of equal size in
 words. Slot n of the mix has the golden-ratio point frac(n * phi); cumulative target
-shares map it to a source, the rank of the slot among its source's slots is the block
-it takes, and a join of slots with blocks gives the mix. Points of this kind visit
-every source evenly in any stretch of slots, and no random number is drawn, so reruns
-agree.
+shares map it to a source, and the rank of the slot among its source's slots is the
+block that it takes. A source gives as many blocks as points fall on it, so the schedule
+sets the counts (near the targets, as such points are spread evenly) and, as slots are
+written in order, the order: any stretch of the mix holds the sources by their shares.
+No random number is drawn, so reruns agree.
 
 Ranks and stream positions are prefix sums in two levels (hash buckets, slot
 segments), so a source with most of the rows is spread over all tasks.
 
 Null texts have size 0 and are never taken; a null source is a source, ordered last.
 Repeated rows are documents of their own. An empty table, or one without words, gives
-targets of 0 and takes nothing.
+targets of 0 and takes nothing. Columns of any name may come along.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import small, word_count, words, wrapped
 from corpusloom.session import stored
 
+#: Words of a block at most, and the slots below which blocks are made smaller (to one word).
 BLOCK = 256
+SLOTS = 1 << 18
 CAP = 3.0
-BUCKETS = 1024
 CELLS = 1024
-SEGMENT = 256
-SEGMENTS = 4096
+#: Slots ranked together, and documents of a source placed together (about).
+SEGMENT = 1 << 16
+BUCKET_ROWS = 1 << 16
+#: Words of a partition of the written mix (about).
+PART_WORDS = 1 << 23
 PHI = (math.sqrt(5) - 1) / 2
 #: frac(phi * 2^20) to full precision, so that points of high slots keep theirs.
 PHI_HIGH = float(Decimal("0.6180339887498948482045868343656381177") * 2**20 % 1)
@@ -62,104 +67,122 @@ def targets(sizes: DataFrame, weights: DataFrame | None = None, share: float = 1
     s = s.withColumn("_level", (F.col("_total") - F.col("_below")) / (F.col("_weights") - F.col("_light")))
     s = s.withColumn("_level", F.min_by(F.when(F.col("_ratio") > F.col("_level"), F.col("_level")), F.when(F.col("_ratio") > F.col("_level"), F.struct("_ratio", "sid"))).over(everything))
     goal = F.when(F.col("_level").isNull(), F.col("_most")).otherwise(F.least(F.col("_most"), F.col("_level") * F.col("weight")))
-    return s.select("sid", "source", "source_size", "weight", goal.alias("target"), F.round(goal).cast("long").alias("quota"))
+    return s.select("sid", "source", "source_size", "weight", goal.alias("target"), F.floor("_most").cast("long").alias("most"))
 
 
-def placed(docs: DataFrame, sources: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` (with ``_size``) with sid, source_size, target, quota and ``_start``, the place in the source's stream."""
-    s = sources.select("sid", F.col("source").alias("_source"), "source_size", "target", "quota")
-    docs = docs.join(small(s), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
-    docs = docs.withColumn("_order", F.xxhash64(F.col(doc_id), F.lit("mix"))).withColumn("_bucket", F.shiftright("_order", 54))
-    sums = docs.groupBy("sid", "_bucket").agg(F.sum("_size").alias("_sum"))
-    before = F.sum("_sum").over(Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("sid", "_bucket", F.coalesce(before, F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("sid", "_bucket").orderBy("_order", doc_id, "_size").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.join(sums, ["sid", "_bucket"]).withColumn("_start", F.col("_base") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    return docs.drop("_base", "_bucket", "_order")
-
-
-def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The slots (slot, sid, block) of the mix: every block of every quota once."""
-    spark = sources.sparkSession
-    total = sources.agg(F.sum(F.ceil(F.col("quota") / F.lit(block)))).first()[0] or 0
-    need = F.ceil(F.col("quota") / F.lit(block)).cast("long")
-    upto = Window.orderBy("sid")
-    shares = sources.where("quota > 0").select("sid", need.alias("need"), F.sum(need).over(upto).alias("_hi"))
-    whole = float(max(total, 1))
-    shares = shares.select("sid", "need", ((F.col("_hi") - F.col("need")) / whole).alias("lo"), F.when(F.col("_hi") >= total, 2.0).otherwise(F.col("_hi") / whole).alias("hi"))
-    first, last = F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1))
-    cells = shares.withColumn("cell", F.explode(F.sequence(first, last)))
+def scheduled(sizes: DataFrame, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int, int]:
+    """The sources with their quotas, the slots (slot, sid, block), words of a block, number of slots.
+
+    A quota is what the source's slots hold: its blocks, less what lies beyond the cap.
+    """
+    sources = stored(targets(sizes, weights), "targets")
+    total = int(sources.agg(F.sum("target")).first()[0] or 0)
+    block = max(1, min(BLOCK, total // SLOTS))
+    number = -(-total // block)
+    slots = stored(schedule(sources, number, block), "slots")
+    got = slots.groupBy("sid").agg(F.count("*").alias("got"))
+    quota = F.least(F.coalesce("got", F.lit(0)) * F.lit(block), F.col("most"))
+    return stored(sources.join(got, "sid", "left").withColumn("quota", quota).drop("got"), "quotas"), slots, block, number
+
+
+def schedule(sources: DataFrame, number: int, block: int) -> DataFrame:
+    """The slots (slot, sid, block) of the mix: points mapped to sources by target share, ranked per source."""
+    upto = Window.orderBy("sid")  # a narrow row per source
+    whole = F.sum("target").over(Window.partitionBy())
+    shares = sources.where("target > 0").select("sid", "most", (F.sum("target").over(upto) / whole).alias("hi"), (F.col("target") / whole).alias("share"), F.row_number().over(Window.orderBy(F.desc("sid"))).alias("last"))
+    shares = shares.select("sid", "most", (F.col("hi") - F.col("share")).alias("lo"), F.when(F.col("last") == 1, 2.0).otherwise(F.col("hi")).alias("hi"))
+    below = F.coalesce(F.lag("hi").over(Window.orderBy("sid")), F.lit(0.0))  # borders meet exactly
+    shares = shares.withColumn("lo", below)
+    first, last = F.least(F.floor(F.col("lo") * CELLS), F.lit(CELLS - 1)), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1))
+    cells = stored(shares.withColumn("cell", F.explode(F.sequence(first, last))), "cells")
     n = F.col("id")
     point = F.shiftright(n, 20) * PHI_HIGH + n.bitwiseAND(F.lit((1 << 20) - 1)) * PHI
-    length = max(SEGMENT, -(-total // SEGMENTS))
-    slots = spark.range(total).select(n.alias("slot"), (point - F.floor(point)).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
-    slots = slots.join(cells, "cell").where("u >= lo and u < hi").select("slot", "sid", "need", F.floor(F.col("slot") / F.lit(length)).alias("segment"))
+    slots = sources.sparkSession.range(number).select(n.alias("slot"), (point - F.floor(point)).alias("u"), F.floor(n / F.lit(SEGMENT)).alias("segment")).withColumn("cell", F.floor(F.col("u") * CELLS))
+    slots = slots.join(small(cells), "cell").where("u >= lo and u < hi").select("slot", "sid", "most", "segment")
     counts = slots.groupBy("sid", "segment").agg(F.count("*").alias("n"))
     by_source = Window.partitionBy("sid").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("sid", "segment", F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("base"))
     rank = F.col("base") + F.row_number().over(Window.partitionBy("segment", "sid").orderBy("slot")) - 1
-    ranked = slots.repartition("segment").join(bases, ["segment", "sid"]).select("slot", "sid", "need", rank.alias("block")).where("block < need").select("slot", "sid", "block")
-    got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
-    short = shares.join(got, "sid", "left").select("sid", "need", F.coalesce("got", F.lit(0)).alias("got")).where("got < need")
-    tail = short.select("sid", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("block"))
-    return ranked.unionByName(tail.select((F.lit(total) + F.col("block")).alias("slot"), "sid", "block"))
+    ranked = slots.join(bases, ["segment", "sid"]).select("slot", "sid", "most", rank.alias("block"))
+    return ranked.where(F.col("block") * block < F.col("most")).select("slot", "sid", "block")
 
 
-def _epochs() -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.ceil(F.col("quota") / F.col("source_size")).cast("long") - 1)
+def placed(narrow: DataFrame, sources: DataFrame) -> DataFrame:
+    """Narrow rows (doc_id, source, _size, k1, k2) with sid, source_size, target, quota and ``_start``, the place in the source's stream."""
+    s = sources.select("sid", F.col("source").alias("_source"), "source_size", "target", "quota")
+    rows = narrow.join(small(s), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    buckets = max(64, -(-narrow.count() // BUCKET_ROWS))
+    rows = rows.withColumn("_bucket", F.floor(F.shiftrightunsigned("k1", 11) / F.lit(float(2**53)) * buckets))
+    sums = rows.groupBy("sid", "_bucket").agg(F.sum("_size").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("sid", "_bucket", F.coalesce(before, F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("sid", "_bucket").orderBy("k1", "k2", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(sums, ["sid", "_bucket"]).withColumn("_start", F.col("_base") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    return rows.drop("_base", "_bucket")
 
 
-def passages(place: DataFrame, block: int | None = BLOCK) -> DataFrame:
-    """What the quotas take of placed documents: per document and repetition, or per block of it.
+def passages(place: DataFrame, block: int, cut: bool) -> DataFrame:
+    """What the quotas take of placed documents, per document and repetition; with ``cut``, per block of it.
 
-    Adds epoch, block (the first one without ``block``), word (first word taken) and words.
+    Adds epoch, at (the place in the repeated stream), block (of the first word) and words.
     """
-    size = block or BLOCK
-    rows = place.where("_size > 0 and quota > 0").withColumn("epoch", F.explode(_epochs()))
-    rows = rows.withColumn("_at", F.col("epoch") * F.col("source_size") + F.col("_start")).where("_at < quota")
-    rows = rows.withColumn("_end", F.least(F.col("_at") + F.col("_size"), F.col("quota")))
-    if block is None:
-        return rows.withColumns({"block": F.floor(F.col("_at") / size), "word": F.lit(0), "words": F.col("_end") - F.col("_at")}).drop("_at", "_end")
-    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("_at") / size), F.floor((F.col("_end") - 1) / size))))
-    low, high = F.greatest("_at", F.col("block") * size), F.least("_end", (F.col("block") + 1) * size)
-    return rows.withColumns({"word": low - F.col("_at"), "words": high - low}).drop("_at", "_end")
-
-
-def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn("_size", word_count(F.col(text)))
-
-
-def source_sizes(docs: DataFrame, source: str = "source") -> DataFrame:
-    return docs.groupBy(F.col(source).alias("source")).agg(F.sum("_size").alias("source_size"))
+    epochs = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("quota") / F.col("source_size")).cast("long") - 1)
+    rows = place.where("_size > 0 and quota > 0").withColumn("epoch", F.explode(epochs))
+    rows = rows.withColumn("at", F.col("epoch") * F.col("source_size") + F.col("_start")).where("at < quota")
+    rows = rows.withColumn("_end", F.least(F.col("at") + F.col("_size"), F.col("quota")))
+    first = F.floor(F.col("at") / block)
+    if not cut:
+        return rows.withColumns({"block": first, "words": F.col("_end") - F.col("at")}).drop("_end")
+    rows = rows.withColumn("block", F.explode(F.sequence(first, F.floor((F.col("_end") - 1) / block))))
+    words_ = F.least("_end", (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
+    return rows.withColumn("words", words_).drop("_end")
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` of wrapped (doc_id, text, source) with _size and k1, k2: two hashes of the whole row.
+
+    Rows of equal hashes are equal (but for maps, which do not hash), so that either may stand for the other.
+    """
+    own = [F.col("doc_id"), F.col("source"), F.col("text"), F.col("_doc")] if "map<" not in rows.schema["_doc"].dataType.simpleString() else [F.col("doc_id"), F.col("source"), F.col("text")]
+    tag = lambda salt: F.xxhash64(F.lit(salt), *own, *[c.isNull() for c in own[:3]])
+    return rows.withColumns({"_size": word_count(F.col("text")), "k1": tag("mix"), "k2": tag("key")})
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The placed documents, narrow, and the mix: (slot, doc_id, sid, _start, epoch, block, word, words)."""
-    narrow = stored(sized(docs, text).select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), "_size"), "sizes")
-    sources = stored(targets(source_sizes(narrow), weights), "targets")
-    place = stored(placed(narrow, sources), "placed")
-    return place, passages(place, block).join(schedule(sources, block), ["sid", "block"])
+def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, int, int]:
+    """The placed documents, narrow, the slots, words of a block, number of slots."""
+    rows = keyed(wrapped(docs.select(doc_id, source, text), doc_id=doc_id, text=text, source=source))
+    narrow = stored(rows.select("doc_id", "source", "_size", "k1", "k2"), "sizes")
+    sizes = narrow.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    sources, slots, block, number = scheduled(sizes, weights)
+    return stored(placed(narrow, sources), "placed"), slots, block, number
 
 
 def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Per document: size, its source's size and target, and the words the mix takes of it."""
-    place, mixed = mix(docs, None, doc_id, text, source)
+    """Per document: size, its source's size and target, the words the mix takes of it, and the first slot that does."""
+    place, slots, block, _ = mix(docs, None, doc_id, text, source)
     keys = ["doc_id", "source", "_size", "source_size", "target", "sid", "_start"]
-    used = mixed.groupBy(*keys, "quota").agg(F.sum("words").alias("taken")).drop("quota")
-    unused = place.where("_size = 0 or _start >= quota").select(*keys, F.lit(0).cast("long").alias("taken"))
-    return used.unionByName(unused).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken", "source")
+    mixed = passages(place, block, cut=True).join(slots, ["sid", "block"])
+    used = mixed.groupBy(*keys).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    unused = place.where("_size = 0 or _start >= quota").select(*keys, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    return used.unionByName(unused).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken", "source", "first_slot")
 
 
 def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix as documents with the columns of ``docs``: one row for each time a document is taken.
+    """The mix as documents with the columns of ``docs``: one row for each time a document is taken, in the order of slots.
 
-    The one document at which a source's quota ends keeps the words taken, joined by spaces.
+    Partitions are stretches of slots, sorted, so written files follow the schedule. A
+    document stands at the slot of its first word. The one at which a source's quota ends
+    keeps the words taken, joined by spaces.
     """
-    measured = sized(wrapped(docs, doc_id=doc_id, text=text, source=source))
-    sources = stored(targets(source_sizes(measured), weights), "targets")
-    rows = passages(placed(measured, sources), None)
-    slots = schedule(sources).select("sid", "block")
-    whole = F.col("words") == F.col("_size")
+    whole = keyed(wrapped(docs, doc_id=doc_id, text=text, source=source))
+    narrow = stored(whole.select("doc_id", "source", "_size", "k1", "k2"), "sizes")
+    sources, slots, block, number = scheduled(narrow.groupBy("source").agg(F.sum("_size").alias("source_size")), weights)
+    picks = passages(placed(narrow, sources), block, cut=False).join(slots, ["sid", "block"])
+    picks = stored(picks.select("k1", "k2", F.col("_size").alias("_all"), "slot", "at", "words"), "picks")
+    one = whole.where("_size > 0").withColumn("_nth", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))).where("_nth = 1")
+    rows = one.select("_doc", "text", "k1", "k2").join(picks, ["k1", "k2"])
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-number * block // PART_WORDS))
+    rows = rows.repartitionById(parts, F.floor(F.col("slot") * parts / max(number, 1)).cast("int")).sortWithinPartitions("slot", "at")
     cut = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("words").cast("int")), " ")
-    taken = F.when(whole, F.col("text")).otherwise(cut)
-    return rows.join(slots, ["sid", "block"], "left_semi").select(*[(taken if c == text else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+    taken = F.when(F.col("words") == F.col("_all"), F.col("text")).otherwise(cut)
+    return rows.select(*[(taken if c == text else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])

@@ -29,7 +29,9 @@ from corpusloom.session import stored
 
 CAPACITY = 4096
 END = 1
-BUCKETS = 256
+#: Pieces of a length that are ranked together (about), and the least number of buckets.
+BUCKET_ROWS = 1 << 16
+BUCKETS = 64
 #: Entries that a worker's word caches hold before they start anew.
 CACHE = 250_000
 
@@ -98,23 +100,25 @@ def tokenizer(path: str) -> WordTokenizer:
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: (doc_id, piece, start, length, ids_crc32[, ids])."""
 
-    kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.list_(pa.int64()))] * with_ids]
+    kinds = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.list_(pa.int64()))] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         end, step = np.array([END], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            out = []
-            for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            out, rows = [], []
+            for d, x in enumerate(batch.column("text").to_pylist()):
                 raw = (t.ids(x) if x else b"") + end
                 for k, at in enumerate(range(0, len(raw), step)):
                     own = raw[at : at + step]
-                    out.append((d, k, at // 4, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype(np.int64)] if with_ids else [])))
+                    rows.append(d)
+                    out.append((k, at // 4, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype(np.int64)] if with_ids else [])))
             columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-            yield pa.record_batch([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+            own_ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
+            yield pa.record_batch([own_ids, *[pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)]], names=["doc_id", *[n for n, _ in kinds]])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<bigint>" * with_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<bigint>" * with_ids
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 class CapacityTree:
@@ -199,7 +203,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.record_batch([*own, pa.array(run[:, 4] + k // run[:, 3]), pa.array(run[:, 5] + k % run[:, 3] * length)], names=[*names, "sequence_id", "offset"])
 
     names = found.columns
-    rows = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)))
+    buckets = max(BUCKETS, -(-max(counts.values(), default=0) // BUCKET_ROWS))
+    rows = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     sums = rows.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_base"))

@@ -6,26 +6,26 @@ judged by two smoothed variable-order Markov models, of accepted and of rejected
 the score is the difference of their log likelihoods per character, and urls at or above
 a calibrated threshold are allowed.
 
-The models come from the urls that rules fit, over the whole table: four fifths (by
-hash) are counted, on the last fifth the threshold is set where the two error rates
-have the least sum. A model interpolates orders 0 to ``ORDER`` by how many different
-characters followed a context (Witten-Bell). Counts lie in tables of fixed size,
-``SLOTS`` hashed contexts by ``len(ALPHABET) + 2`` character classes for each order, so
-what is gathered and broadcast has a bound that does not depend on the corpus, while
-every url of the table is counted.
-
-Null urls and urls without ``://`` have an empty host and path, no rule, and the score
-of the empty text, 0. If rules give only one kind of example, every url without a rule
-gets that kind's verdict, and without any example it is allowed. Repeated rows get equal
-verdicts. An empty table gives no rows.
+The models read the whole url after ``://``, with its query and fragment (a url without
+``://`` as it is), the host in lower case. They come from the urls that rules fit, over
+the whole table: four fifths (by hash) are counted, on the last fifth the threshold is
+set where the two error rates have the least sum; if that fifth lacks one kind, it is 0.
+A model interpolates orders 0 to ``ORDER`` by how many different characters followed a
+context (Witten-Bell), down to an even chance for each character that occurs anywhere.
+
+Counts are a table of (context, character) rows, exact, as many as the corpus has: they
+are aggregated, smoothed and looked up by joins, order by order, and nothing of them
+reaches the driver but the histogram of scores. What is smoothed are distinct strings of
+ORDER + 1 characters, so a host that most urls share is looked up once.
+
+Null urls have an empty host and path, no rule, and the score of the empty text, 0. If
+rules give only one kind of example, every url without a rule gets that kind's verdict,
+and without any example it is allowed. Repeated rows get equal verdicts, and count as
+often as they occur. An empty table gives no rows. Ids keep their type.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +34,12 @@ from corpusloom.session import stored
 #: The rules of the query: (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 ORDER = 4
-SLOTS = 4096
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~:/?#[]@!$&'()*+,;=%"
+#: Stands before a url's first character.
+START = "\x02"
 #: One part in so many of the ruled urls calibrates the threshold.
 HOLD_OUT = 5
 #: Width of the score histogram's bars.
 BAR = 0.01
-CLASSES = len(ALPHABET) + 2  # the start of a url, the alphabet, anything else
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,103 +60,70 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Character classes of all texts, each after ORDER start marks; where the texts' characters lie."""
-    table = {c: k + 1 for k, c in enumerate(ALPHABET)}
-    codes = np.array([k for t in texts for k in ([0] * ORDER + [table.get(c, CLASSES - 1) for c in t.lower()])], np.int64)
-    return codes, np.array([len(t.lower()) for t in texts], np.int64)
-
-
-def _cells(codes: np.ndarray, order: int) -> np.ndarray:
-    """For every position its context's slot for an order."""
-    slot = np.zeros(len(codes), np.int64)
-    for back in range(order, 0, -1):
-        slot = slot * 67 + np.concatenate((np.zeros(back, np.int64), codes[:-back]))
-    return slot if order < 2 else (slot * 0x9E3779B1 >> 7) % SLOTS
-
-
-def _inside(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions of characters, without the start marks."""
-    ends = np.cumsum(lengths + ORDER)
-    mask = np.ones(len(codes), bool)
-    for k in range(ORDER):
-        mask[ends - lengths - ORDER + k] = False
-    return np.flatnonzero(mask)
-
-
-def count_cells(ruled: DataFrame) -> DataFrame:
-    """(cell, n) of all counted urls (text, verdict): the models' tables, sparse and summed."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for b in batches:
-            texts, allowed = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), bool)
-            if not texts:
-                continue
-            codes, lengths = _codes(texts)
-            at = _inside(codes, lengths)
-            kind = np.repeat(allowed, lengths).astype(np.int64) * (ORDER + 1)
-            for order in range(ORDER + 1):
-                cells = ((kind + order) * SLOTS + _cells(codes, order)[at]) * CLASSES + codes[at]
-                found, n = np.unique(cells, return_counts=True)
-                for c, k in zip(found.tolist(), n.tolist(), strict=True):
-                    total[c] = total.get(c, 0) + k
-        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["cell", "n"])
-
-    rows = ruled.select("text", (F.col("verdict") == "allow").alias("allowed")).mapInArrow(run, "cell long, n long")
-    return rows.groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-class Models:
-    """The two models as tables of fixed size: [rejected, accepted][order][slot][class]."""
-
-    def __init__(self, cells: np.ndarray, numbers: np.ndarray) -> None:
-        counts = np.zeros(2 * (ORDER + 1) * SLOTS * CLASSES, np.float64)
-        counts[cells] = numbers
-        self.counts = counts.reshape(2, ORDER + 1, SLOTS, CLASSES).astype(np.float32)
-        self.total = self.counts.sum(axis=3, dtype=np.float64)
-        self.kinds = (self.counts > 0).sum(axis=3)
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Log likelihood of accepted less that of rejected, per character; 0 for empty texts."""
-        codes, lengths = _codes(texts)
-        if not lengths.sum():
-            return np.zeros(len(texts))
-        at = _inside(codes, lengths)
-        likely = np.full((2, len(at)), 1.0 / CLASSES)
-        for order in range(ORDER + 1):
-            slot = _cells(codes, order)[at]
-            for k in range(2):
-                n, t = self.total[k, order, slot], self.kinds[k, order, slot]
-                seen = n > 0
-                likely[k] = np.where(seen, (self.counts[k, order, slot, codes[at]] + t * likely[k]) / np.maximum(n + t, 1), likely[k])
-        gain = np.concatenate((np.log(likely[1]) - np.log(likely[0]), [0.0]))
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        sums = np.where(lengths > 0, np.add.reduceat(gain, starts), 0.0)
-        return sums / np.maximum(lengths, 1)
-
-
-def scored(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
-    """``df`` with ``score``."""
-    shared = df.sparkSession.sparkContext.broadcast(models)  # of fixed size
-    where = df.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            got = m.scores(b.column(where).to_pylist())
-            yield pa.record_batch([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, "score"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{kinds}, score double")
+def model_text(url: Column) -> Column:
+    """What the models read of a url: all after ``://``, the host in lower case."""
+    at = F.instr(url, F.lit("://"))
+    rest = F.coalesce(F.when(at > 0, url.substr(at + 3, F.length(url))).otherwise(url), F.lit(""))
+    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    return F.concat(F.translate(host, UPPER, LOWER), rest.substr(F.length(host) + 1, F.length(rest)))
+
+
+def grams(df: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each character: ``gram`` is the character after the ORDER ones before it."""
+    padded = F.concat(F.lit(START * ORDER), F.col(text))
+    n = F.length(text)
+    rows = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: padded.substr(i, F.lit(ORDER + 1))))
+    return df.withColumn("gram", F.explode(rows))
+
+
+def counted(ruled: DataFrame) -> DataFrame:
+    """(gram, good, bad): how often each string of ORDER + 1 characters occurs in accepted and in rejected urls."""
+    good = F.col("verdict") == "allow"
+    return grams(ruled.select("text", "verdict")).groupBy("gram").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
+
+
+def gains(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gram, gain) of the wanted (distinct) grams: log of the accepted model's probability less that of the rejected one's."""
+    symbols = max(1, counts.select(F.right("gram", F.lit(1))).distinct().count())
+    even = F.lit(1.0 / symbols)
+    lower = None
+    for order in range(ORDER + 1):
+        size = F.lit(order + 1)
+        own = counts.groupBy(F.right("gram", size).alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        asked = wanted.select(F.right("gram", size).alias("gram")).distinct()
+        none = F.lit(0).cast("long")
+        rows = own.withColumn("asked", F.lit(False)).unionByName(asked.select("gram", none.alias("good"), none.alias("bad"), F.lit(True).alias("asked")))
+        rows = rows.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("asked").alias("asked"))
+        context = F.left("gram", F.lit(order))
+        totals = rows.groupBy(context.alias("context")).agg(*[a for k in ("good", "bad") for a in (F.sum(k).alias(f"{k}_n"), F.count_if(F.col(k) > 0).alias(f"{k}_t"))])
+        rows = rows.where("asked").withColumn("context", context).join(totals, "context")
+        if lower is None:
+            rows = rows.withColumns({"p_good": even, "p_bad": even})
+        else:
+            rows = rows.withColumn("shorter", F.right("gram", F.lit(order))).join(lower, "shorter")
+        smooth = lambda k: F.when(F.col(f"{k}_n") > 0, (F.col(k) + F.col(f"{k}_t") * F.col(f"p_{k}")) / (F.col(f"{k}_n") + F.col(f"{k}_t"))).otherwise(F.col(f"p_{k}"))
+        lower = rows.select(F.col("gram").alias("shorter"), smooth("good").alias("p_good"), smooth("bad").alias("p_bad"))
+    # a model with no count at all, or a character that it never saw, has no chance to name: both models then say the same
+    gain = F.when((F.col("p_good") > 0) & (F.col("p_bad") > 0), F.log("p_good") - F.log("p_bad")).otherwise(0.0)
+    return lower.select(F.col("shorter").alias("gram"), gain.alias("gain"))
+
+
+def scored(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """(text, score) of distinct texts; texts without a character have score 0."""
+    rows = urls.select("text").distinct()
+    places = grams(rows)
+    table = stored(gains(counts, places.select("gram").distinct()), "gains")
+    sums = places.join(table, "gram").groupBy("text").agg((F.sum(F.round("gain", 12).cast("decimal(30,12)")) / F.count("*")).cast("double").alias("score"))
+    return rows.where("text = ''").select("text", F.lit(0.0).alias("score")).unionByName(sums)
 
 
 def calibrate(held: DataFrame) -> float:
-    """The threshold with the least sum of error rates on scored urls; ties go to the one nearest 0."""
+    """The threshold with the least sum of error rates on scored urls; ties go to the one nearest 0, and without both kinds it is 0."""
     bars = held.groupBy(F.floor(F.col("score") / BAR).alias("bar"), "verdict").agg(F.count("*").alias("n"))
     rows = bars.collect()  # scores lie between the logs of the least and greatest likelihood: bounded
     good, bad = ({r["bar"]: r["n"] for r in rows if r["verdict"] == v} for v in ("allow", "block"))
     if not good or not bad:
-        return float("inf") if bad else float("-inf")
+        return 0.0
     edges = sorted({*good, *bad, *(k + 1 for k in (*good, *bad))})
     n_good, n_bad = sum(good.values()), sum(bad.values())
     lost, passed, best = 0, n_bad, []
@@ -168,18 +134,49 @@ def calibrate(held: DataFrame) -> float:
     return min(best)[2] * BAR
 
 
+def fitted(ruled: DataFrame) -> tuple[DataFrame, float]:
+    """The counts of the models and the threshold, from ruled (text, verdict), of which both kinds occur."""
+    part = F.pmod(F.xxhash64(F.lit("part"), "text"), F.lit(HOLD_OUT))
+    counts = stored(counted(ruled.where(part > 0)), "counts")
+    held = ruled.where(part == 0)
+    return counts, calibrate(held.select("text", "verdict").join(scored(held, counts), "text"))
+
+
+def held_out(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] | None = None, masked: bool = True) -> DataFrame:
+    """How models fitted on four fifths of the ruled urls judge the last fifth: (verdict, n, right).
+
+    With ``masked`` the host and path that a rule names are taken out of what the models
+    read, so that they cannot learn the rule itself.
+    """
+    host, path = host_and_path(F.col(url))
+    rule, verdict = fitting_rule(host, path, RULES if rules is None else rules)
+    text = model_text(F.col(url))
+    if masked:
+        ruled_host = F.substring_index(rule, "/", 1)
+        left = host.substr(F.lit(1), F.length(host) - F.length(ruled_host))
+        text = F.concat(left, text.substr(F.length(host) + F.length(rule) - F.length(ruled_host) + 1, F.length(text)))
+    ruled = stored(pages.select(rule.alias("rule"), verdict.alias("verdict"), text.alias("text")).where("verdict is not null"), "ruled")
+    part = F.pmod(F.xxhash64(F.lit("held"), "text"), F.lit(HOLD_OUT))
+    counts, limit = fitted(ruled.where(part > 0))
+    held = ruled.where(part == 0)
+    judged = held.join(scored(held, counts), "text").withColumn("said", F.when(F.col("score") >= limit, "allow").otherwise("block"))
+    return judged.groupBy("verdict").agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("verdict")).alias("right"))
+
+
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """Per url: page_id, host, path, rule, verdict and score (null where a rule decides)."""
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     host, path = host_and_path(F.col("url"))
-    own = own.select("page_id", host.alias("host"), path.alias("path"))
+    own = own.select("page_id", host.alias("host"), path.alias("path"), model_text(F.col("url")).alias("text"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    own = stored(own.select("*", rule.alias("rule"), verdict.alias("verdict"), F.concat("host", "path").alias("text")), "urls")
-    ruled = own.where("verdict is not null").withColumn("part", F.pmod(F.xxhash64("text", F.lit("part")), F.lit(HOLD_OUT)))
-    cells = count_cells(ruled.where("part > 0")).toPandas()
-    models = Models(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64))
-    limit = calibrate(scored(ruled.where("part = 0").select("text", "verdict"), models))
-    open_ = scored(own.where("verdict is null"), models)
+    own = stored(own.select("*", rule.alias("rule"), verdict.alias("verdict")), "urls")
     decided = own.where("verdict is not null").withColumn("score", F.lit(None).cast("double"))
-    open_ = open_.withColumn("verdict", F.when(F.col("score") >= F.lit(limit), "allow").otherwise("block"))
+    rest = own.where("verdict is null").drop("verdict")
+    kinds = {r["verdict"] for r in decided.select("verdict").distinct().collect()}  # at most two
+    if len(kinds) == 2:
+        counts, limit = fitted(decided)
+        open_ = rest.join(scored(rest, counts), "text")
+        open_ = open_.withColumn("verdict", F.when(F.col("score") >= F.lit(limit), "allow").otherwise("block"))
+    else:
+        open_ = rest.withColumns({"score": F.lit(0.0), "verdict": F.lit("block" if kinds == {"block"} else "allow")})
     return decided.unionByName(open_).select("page_id", "host", "path", "rule", "verdict", "score")

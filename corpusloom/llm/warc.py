@@ -11,7 +11,7 @@ are verified. Memory is one record.
 A task writes under a name of its own and reports the archive in the manifest when it
 is complete, so a lost or repeated task leaves at most a file that nobody reads. The
 folder is ``spark.checkpoint.dir`` (or one given), reached through pyarrow's file
-systems. Null payloads are empty; a null id is written as ``null``; a null url is
+systems. Null payloads are empty; ids of any type are written as text, percent-encoded, a null id as ``null``; a null url is
 ``urn:page:<id>``. Repeated rows are records of their own. An empty table gives none.
 """
 
@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +35,8 @@ from corpusloom.session import shared_path, stored
 REVISIT_BYTES = 1000
 #: Compressed bytes after which a task begins another archive.
 ARCHIVE_BYTES = 256 << 20
+#: Compressed bytes that a reading task is given (about), where there are more archives than cores.
+READ_BYTES = 64 << 20
 CHUNK = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -130,9 +133,9 @@ def write(plan: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", arch
                 if out is None:
                     name, n, size = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(name, compression=None)
-                ident = "null" if ident is None else str(ident)
+                ident = "null" if ident is None else quote(str(ident), safe="")
                 base32 = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
-                raw = record(ident, f"urn:page:{ident}" if url is None else url, payload, base32, None if refers is None else str(refers), date)
+                raw = record(ident, f"urn:page:{ident}" if url is None else url, payload, base32, None if refers is None else quote(str(refers), safe=""), date)
                 out.write(raw)
                 n, size = n + 1, size + len(raw)
                 if size >= archive_bytes:
@@ -150,14 +153,18 @@ def write(plan: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", arch
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """The records of the manifest's archives: (page_id, url, payload_bytes, payload_digest, record_type, refers_to)."""
+    """The records of the manifest's archives: (page_id, url, payload_bytes, payload_digest, record_type, refers_to).
+
+    Ids are text, as a record holds them. Archives are dealt evenly over tasks whose number follows the manifest.
+    """
+    spark = manifest.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
         fs, _ = FileSystem.from_uri(folder)
-        number = lambda x: None if x == "<urn:page:null>" else int(x[10:-1])
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        ident = lambda x: None if x == "<urn:page:null>" else unquote(x[10:-1])
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         for batch in batches:
             for path in batch.column(0).to_pylist():
@@ -170,15 +177,16 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                             raise WarcError("the payload's length does not fit")
                         refers = fields.get("warc-refers-to")
                         digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        rows.append((number(fields["warc-record-id"]), fields["warc-target-uri"], said, digest, fields["warc-type"], number(refers) if refers else None))
+                        rows.append((ident(fields["warc-record-id"]), fields["warc-target-uri"], said, digest, fields["warc-type"], ident(refers) if refers else None))
                         if len(rows) >= 5000:
                             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                             rows = []
                 if rows:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    spread = manifest.select("path").repartition("path")
-    return spread.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    archives, total = manifest.agg(F.count("*"), F.sum("bytes")).first()
+    tasks = max(1, min(archives, max(-(-(total or 0) // READ_BYTES), spark.sparkContext.defaultParallelism)))
+    return manifest.select("path").repartition(tasks).mapInArrow(run, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -187,4 +195,5 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     if "://" not in folder:
         folder = "file://" + folder
     out = read(write(planned(pages, page_id, url, html), folder), folder)
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    kind = pages.schema[page_id].dataType
+    return out.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url")

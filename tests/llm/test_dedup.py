@@ -114,4 +114,6 @@ def test_embeddings(spark):
         assert got[i]["n_links"] == sum(i in p for p in pairs)
         assert got[i]["component_id"] == comp[i]
         assert got[i]["kept"] == (comp[i] == i)
+    named = spark.createDataFrame([("b", [1.0, 1e300], "x:1"), ("a", [2.0, 2e300], "x:1"), ("c", [1e-300, 1.0], "x:1"), (None, [1.0, 0.0], "x:1")], "vec_id string, embedding array<double>, label string")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_dedup(named).collect()} == {"a": (2, "a", True), "b": (2, "a", False), "c": (2, "a", False), None: (0, None, True)}
     assert embeddings.near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

@@ -17,14 +17,9 @@ SPACE = r"[^\x20\x09-\x0D]+"
 
 
 def five(text):
-    import xxhash
-
+    """The set of five-word shingles; of fewer words, all of them."""
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
-    if not words:
-        return 0
-    parts = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)] or [" ".join(words)]
-    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
-    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
 def table(spark, tmp_path):
@@ -78,8 +73,9 @@ def test_stages(spark, tmp_path):
             want[i] = "\n".join(lines)
     assert after["lines"] == want and len(want) < len(after["quality"])
 
-    prints = {i: five(t) for i, t in want.items()}
-    groups = closure(sorted(prints), [(a, b) for a in prints for b in prints if a < b and bin(prints[a] ^ prints[b]).count("1") <= 4])
+    sets = {i: five(t) for i, t in want.items()}
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    groups = closure(sorted(sets), [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])])
     assert set(after["near_dedup"]) == set(groups.values())
 
     size = lambda t: len(re.findall(SPACE, t or ""))
@@ -91,7 +87,7 @@ def test_stages(spark, tmp_path):
         assert after["near_dedup"][r["doc_id"]].split()[: size(r["text"])] == r["text"].split()
         taken[r["source"]] = taken.get(r["source"], 0) + size(r["text"])
     target = fill(sizes, {s: k % 3 + 1 for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))})
-    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+    assert all(abs(taken[s] - target[s]) <= 4 for s in sizes)
 
     packed = stages["packing"](spark, docs, str(tmp_path)).collect()
     assert sorted({r["doc_id"] for r in packed}) == sorted({r["doc_id"] for r in mixed})
