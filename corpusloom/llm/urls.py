@@ -26,9 +26,10 @@ often as they occur. An empty table gives no rows. Ids keep their type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import settled
 from corpusloom.session import stored
 
 #: The rules of the query: (host, path, verdict).
@@ -70,10 +71,10 @@ def model_text(url: Column) -> Column:
 
 def grams(df: DataFrame, text: str = "text") -> DataFrame:
     """A row for each character: ``gram`` is the character after the ORDER ones before it."""
-    padded = F.concat(F.lit(START * ORDER), F.col(text))
-    n = F.length(text)
-    rows = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: padded.substr(i, F.lit(ORDER + 1))))
-    return df.withColumn("gram", F.explode(rows))
+    rows = settled(df, _c=F.split(F.concat(F.lit(START * ORDER), F.col(text)), ""))
+    n = F.size("_c") - ORDER
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    return rows.withColumn("gram", F.explode(F.transform(at, lambda i: F.concat(*[F.get("_c", i + k) for k in range(ORDER + 1)])))).drop("_c")
 
 
 def counted(ruled: DataFrame) -> DataFrame:
@@ -83,29 +84,26 @@ def counted(ruled: DataFrame) -> DataFrame:
 
 
 def gains(counts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, gain) of the wanted (distinct) grams: log of the accepted model's probability less that of the rejected one's."""
-    symbols = max(1, counts.select(F.right("gram", F.lit(1))).distinct().count())
-    even = F.lit(1.0 / symbols)
+    """(gram, gain) of the wanted grams: log of the accepted model's probability less that of the rejected one's.
+
+    A window holds a context's characters, at most as many as there are different ones.
+    """
+    none = F.lit(0).cast("long")
+    both = counts.withColumn("asked", F.lit(False)).unionByName(wanted.select("gram", none.alias("good"), none.alias("bad"), F.lit(True).alias("asked")))
     lower = None
     for order in range(ORDER + 1):
-        size = F.lit(order + 1)
-        own = counts.groupBy(F.right("gram", size).alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        asked = wanted.select(F.right("gram", size).alias("gram")).distinct()
-        none = F.lit(0).cast("long")
-        rows = own.withColumn("asked", F.lit(False)).unionByName(asked.select("gram", none.alias("good"), none.alias("bad"), F.lit(True).alias("asked")))
-        rows = rows.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("asked").alias("asked"))
-        context = F.left("gram", F.lit(order))
-        totals = rows.groupBy(context.alias("context")).agg(*[a for k in ("good", "bad") for a in (F.sum(k).alias(f"{k}_n"), F.count_if(F.col(k) > 0).alias(f"{k}_t"))])
-        rows = rows.where("asked").withColumn("context", context).join(totals, "context")
+        rows = both.groupBy(F.right("gram", F.lit(order + 1)).alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("asked").alias("asked"))
+        w = Window.partitionBy("context")
+        rows = rows.withColumn("context", F.left("gram", F.lit(order)))
+        rows = rows.withColumns({c: e for k in ("good", "bad") for c, e in ((f"{k}_n", F.sum(k).over(w)), (f"{k}_t", F.count_if(F.col(k) > 0).over(w)))})
         if lower is None:
-            rows = rows.withColumns({"p_good": even, "p_bad": even})
+            even = 1 / F.greatest(F.lit(1.0), F.count_if(F.col("good") + F.col("bad") > 0).over(w))
+            rows = rows.withColumns({"p_good": even, "p_bad": even}).where("asked")
         else:
-            rows = rows.withColumn("shorter", F.right("gram", F.lit(order))).join(lower, "shorter")
+            rows = rows.where("asked").withColumn("shorter", F.right("gram", F.lit(order))).join(lower, "shorter")
         smooth = lambda k: F.when(F.col(f"{k}_n") > 0, (F.col(k) + F.col(f"{k}_t") * F.col(f"p_{k}")) / (F.col(f"{k}_n") + F.col(f"{k}_t"))).otherwise(F.col(f"p_{k}"))
         lower = rows.select(F.col("gram").alias("shorter"), smooth("good").alias("p_good"), smooth("bad").alias("p_bad"))
-    # a model with no count at all, or a character that it never saw, has no chance to name: both models then say the same
-    gain = F.when((F.col("p_good") > 0) & (F.col("p_bad") > 0), F.log("p_good") - F.log("p_bad")).otherwise(0.0)
-    return lower.select(F.col("shorter").alias("gram"), gain.alias("gain"))
+    return lower.select(F.col("shorter").alias("gram"), (F.log("p_good") - F.log("p_bad")).alias("gain"))
 
 
 def scored(urls: DataFrame, counts: DataFrame) -> DataFrame:
@@ -134,12 +132,16 @@ def calibrate(held: DataFrame) -> float:
     return min(best)[2] * BAR
 
 
-def fitted(ruled: DataFrame) -> tuple[DataFrame, float]:
-    """The counts of the models and the threshold, from ruled (text, verdict), of which both kinds occur."""
-    part = F.pmod(F.xxhash64(F.lit("part"), "text"), F.lit(HOLD_OUT))
-    counts = stored(counted(ruled.where(part > 0)), "counts")
-    held = ruled.where(part == 0)
-    return counts, calibrate(held.select("text", "verdict").join(scored(held, counts), "text"))
+def _part(salt: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "text"), F.lit(HOLD_OUT))
+
+
+def fitted(ruled: DataFrame, others: DataFrame) -> tuple[DataFrame, float]:
+    """The scores (text, score) of ``others`` and the threshold, from ruled (text, verdict), of which both kinds occur."""
+    counts = stored(counted(ruled.where(_part("part") > 0)), "counts")
+    held = ruled.where(_part("part") == 0)
+    scores = stored(scored(held.select("text").unionByName(others.select("text")), counts), "scores")
+    return scores, calibrate(held.select("text", "verdict").join(scores, "text"))
 
 
 def held_out(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] | None = None, masked: bool = True) -> DataFrame:
@@ -156,10 +158,9 @@ def held_out(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str
         left = host.substr(F.lit(1), F.length(host) - F.length(ruled_host))
         text = F.concat(left, text.substr(F.length(host) + F.length(rule) - F.length(ruled_host) + 1, F.length(text)))
     ruled = stored(pages.select(rule.alias("rule"), verdict.alias("verdict"), text.alias("text")).where("verdict is not null"), "ruled")
-    part = F.pmod(F.xxhash64(F.lit("held"), "text"), F.lit(HOLD_OUT))
-    counts, limit = fitted(ruled.where(part > 0))
-    held = ruled.where(part == 0)
-    judged = held.join(scored(held, counts), "text").withColumn("said", F.when(F.col("score") >= limit, "allow").otherwise("block"))
+    held = ruled.where(_part("held") == 0)
+    scores, limit = fitted(ruled.where(_part("held") > 0), held)
+    judged = held.join(scores, "text").withColumn("said", F.when(F.col("score") >= limit, "allow").otherwise("block"))
     return judged.groupBy("verdict").agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("verdict")).alias("right"))
 
 
@@ -174,8 +175,8 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: l
     rest = own.where("verdict is null").drop("verdict")
     kinds = {r["verdict"] for r in decided.select("verdict").distinct().collect()}  # at most two
     if len(kinds) == 2:
-        counts, limit = fitted(decided)
-        open_ = rest.join(scored(rest, counts), "text")
+        scores, limit = fitted(decided, rest)
+        open_ = rest.join(scores, "text")
         open_ = open_.withColumn("verdict", F.when(F.col("score") >= F.lit(limit), "allow").otherwise("block"))
     else:
         open_ = rest.withColumns({"score": F.lit(0.0), "verdict": F.lit("block" if kinds == {"block"} else "allow")})

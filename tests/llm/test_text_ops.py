@@ -400,7 +400,7 @@ def plain_models(examples):
 def test_url_scores_against_plain_models(spark):
     rnd = random.Random(12)
     url = lambda host: f"http://{''.join(rnd.choice('abcé') for _ in range(rnd.randint(0, 9)))}.{host}/{rnd.randrange(99)}?q={rnd.choice('xyz')}#{rnd.choice('Ää~')}"
-    rows = [url("com") for _ in range(60)] + [f"http://{rnd.choice(['ab', 'zz'])}.net/es/{rnd.randrange(30)}" for _ in range(40)] + [url("org") for _ in range(40)] + [None, "", "no scheme é", "x://", "http://o.org/" + "ab" * 50_000]
+    rows = [url("com") for _ in range(60)] + [f"http://{rnd.choice(['ab', 'zz'])}.net/es/{rnd.randrange(30)}" for _ in range(40)] + [url("org") for _ in range(40)] + [None, "", "no scheme é", "x://", "http://o.org/" + "ab" * 20_000]
     rows += rows[:30] + rows[100:105]
     df = spark.createDataFrame([(f"p{i}", u, 0, "t") for i, u in enumerate(rows)], "page_id string, url string, path int, text string")
     got = {r["page_id"]: r for r in urls.judge(df).collect()}
