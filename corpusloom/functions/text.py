@@ -95,15 +95,22 @@ def unescape_html(text: Column) -> Column:
 
 
 def strip_prompt(text: Column) -> Column:
-    """A leading ``user@host:path$``, ``$`` or ``>`` prompt."""
-    text = F.regexp_replace(text, r"^[\w.-]+@[\w.-]+:[^$#]*[$#]\s+", "")
-    return F.regexp_replace(F.regexp_replace(text, r"^\$\s+", ""), r"^>\s+", "")
+    """A leading ``user@host:path$``, ``$`` or ``>`` prompt, with the blanks before and after it."""
+    for prompt in (r"(?U)^\s*[\w.-]+@[\w.-]+:\S*?\s*[#$]\s+", r"(?U)^\s*\$\s+", r"(?U)^\s*>\s+"):
+        text = F.regexp_replace(text, prompt, "")
+    return text
 
 
 def strip_comment(text: Column) -> Column:
-    """A trailing `` # comment`` outside quotes."""
-    lead = F.regexp_extract(text, r"""^((?:"[^"]*"|'[^']*'|[^'"# \t]|#|[ \t]+(?=[^# \t]))*?)[ \t]+#.*$""", 1)
-    return F.when((lead != "") & text.rlike(r"[ \t]#"), lead).otherwise(text)
+    """What stands before a ``#`` that follows a blank outside quotes; an open quote takes all that follows.
+
+    The text is cut into quoted strings and pieces of the rest; the first of these with a
+    comment ends it. No pattern nests, so texts of any length are fine.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r""""[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[ \t]++#?|[^"' \t]++"""), F.lit(0))
+    at = F.array_position(F.transform(tokens, lambda t: t.rlike(r"^[ \t]+#$")), True).cast("int")
+    kept = F.regexp_replace(F.array_join(F.slice(tokens, 1, F.greatest(at - 1, F.lit(0))), ""), r"(?U)\s+$", "")
+    return F.when(text.rlike(r"[ \t]#") & (at > 0), kept).otherwise(text)
 
 
 def fill_placeholders(text: Column, values: dict[str, str]) -> Column:
@@ -131,7 +138,24 @@ def strip_fence(text: Column) -> Column:
 
 
 def join_continuations(text: Column, pairs: bool = True) -> Column:
-    """Lines that end in a backslash joined with the next; with ``pairs`` only an odd number of them counts."""
-    if not pairs:
-        return F.regexp_replace(text, r"[ \t]*\\\n[ \t]*", " ")
-    return F.regexp_replace(text, r"((?<!\\)(?:\\\\)*)\\\n[ \t]*", "$1 ")
+    """Lines that end in a backslash (blanks may follow it) joined with the next by one space.
+
+    With ``pairs`` only an odd number of backslashes counts. A last line that ends in one
+    loses it, and a joined line the blanks at its cut.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\r+$", ""))
+    tail = lambda x: F.regexp_extract(x, r"(?U)(\\+)\s*$", 1)
+    goes_on = lambda x: (F.length(tail(x)) % 2 == 1) if pairs else (tail(x) != "")
+    less = lambda x: F.regexp_replace(x, r"(?U)\s*\\\s*\z", "")
+    # a mark after each line that goes on, a newline after each other; without the last of these, blanks around marks go
+    marked = F.transform(lines, lambda x: F.when(goes_on(x), F.concat(less(x), F.lit(CUT))).otherwise(F.concat(x, F.lit("\n"))))
+    whole = F.array_join(marked, "")
+    return F.regexp_replace(whole.substr(F.lit(1), F.length(whole) - 1), rf"(?U)[^\S\n]*+{CUT}[^\S\n]*+", " ")
+
+
+def substituted(text: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
+    """``text`` after every (pattern, replacement) in turn, and whether that changed it."""
+    out = text
+    for pattern, into in rules:
+        out = F.regexp_replace(out, pattern, into)
+    return out, ~out.eqNullSafe(text)

@@ -6,6 +6,7 @@ on partitioning and SQL can repeat them.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ def deal(df: DataFrame, by: list[str], key: str, item: str, site: str, rounds: i
     if rounds is not None:
         out = out.where(F.col("round") <= rounds)
     if most is not None:
-        turn = Window.partitionBy(*by).orderBy("round", scoped_hash(site, key), key)
-        out = out.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= most).drop("_turn")
+        quota = out.select(*by).distinct().withColumn("_quota", F.lit(most))
+        out = cut_rounds(out, quota, by, key, site)
     return out
 
 
@@ -78,82 +79,105 @@ def shape_conflicts(df: DataFrame, item: str = "command", shape: str = "shape",
     return report, exact.select(item).unionByName(drop).distinct()
 
 
-def apportion(need: int, weight: dict[str, int], limit: dict[str, int]) -> dict[str, int]:
-    """``need`` units dealt by weight under limits: full sources are pinned, the rest goes by largest remainder, ties by name."""
-    got = dict.fromkeys(weight, 0)
-    open_ = {s for s in weight if limit[s] > 0}
-    need = min(need, sum(limit.values()))
-    while need > 0 and (total := sum(weight[s] for s in open_)) > 0:
-        exact = {s: need * weight[s] / total for s in open_}
-        full = {s for s in open_ if exact[s] > limit[s]}
-        if not full:
-            got |= {s: int(x) for s, x in exact.items()}
-            spare = need - sum(int(x) for x in exact.values())
-            for s in sorted(open_, key=lambda s: (int(exact[s]) - exact[s], s))[:spare]:
-                got[s] += 1
-            break
-        got |= {s: limit[s] for s in full}
-        need -= sum(limit[s] for s in full)
-        open_ -= full
-    return got
-
-
-def allocate(want: int, available: dict[str, int], share: float = DEFAULT.max_source_share) -> tuple[dict[str, int], bool]:
-    """Picks per source, none above ``share`` of ``want`` while others can serve; whether that was breached."""
-    want = max(0, min(want, sum(available.values())))
-    if not want:
-        return dict.fromkeys(available, 0), False
-    top = max(1, int(want * share))
-    take = apportion(want, available, {s: min(n, top) for s, n in available.items()})
-    short = want - sum(take.values())
-    if short > 0:
-        room = {s: available[s] - take[s] for s in available}
-        for s, n in apportion(short, room, room).items():
-            take[s] += n
-    return take, short > 0
+def apportioned(df: DataFrame, by: list[str], name: str, need: str, weight: str, limit: str) -> DataFrame:
+    """``df`` with ``take``: per ``by``, ``need`` units dealt by weight, none above its limit.
+
+    There is one level at which min(limit, level x weight) sums to what is dealt: with rows
+    ordered by limit over weight, those at their limit come first, so running sums find it.
+    Whole parts are dealt, then one more each to the largest remainders, ties by name.
+    """
+    every = Window.partitionBy(*by)
+    up = every.orderBy("_ratio", name).rowsBetween(Window.unboundedPreceding, -1)
+    w, most = F.col(weight).cast("double"), F.col(limit).cast("double")
+    rows = df.withColumns({"_ratio": F.when(w > 0, most / F.nullif(w, F.lit(0.0))).otherwise(float("-inf")), "_need": F.least(F.col(need).cast("double"), F.sum(most).over(every))})
+    rows = rows.withColumns({"_before": F.coalesce(F.sum(most).over(up), F.lit(0.0)), "_heavy": F.sum(w).over(every) - F.coalesce(F.sum(w).over(up), F.lit(0.0))})
+    # in units of all open weight, so that exact shares stay exact
+    fits = (w > 0) & ((F.col("_need") - F.col("_before")) * w / F.nullif("_heavy", F.lit(0.0)) <= most)
+    first = F.min(F.when(fits, F.struct("_ratio", F.col(name).alias("n"), (F.col("_need") - F.col("_before")).alias("rest"), F.col("_heavy").alias("heavy")))).over(every)
+    rows = rows.withColumn("_first", first)
+    is_open = (w > 0) & F.col("_first").isNotNull() & (F.struct("_ratio", F.col(name).alias("n")) >= F.struct(F.col("_first._ratio"), F.col("_first.n")))
+    share = F.when(F.col("_need") <= 0, 0.0).when(is_open, F.col("_first.rest") * w / F.col("_first.heavy")).otherwise(F.when(w > 0, most).otherwise(0.0))
+    rows = rows.withColumns({"_whole": F.floor(share), "_part": share - F.floor(share)})
+    spare = F.col("_need") - F.sum("_whole").over(every)
+    turn = F.row_number().over(every.orderBy(F.desc("_part"), name))
+    take = (F.col("_whole") + F.when((turn <= spare) & (F.col("_whole") < most), 1).otherwise(0)).cast("long")
+    return rows.withColumn("take", take).drop("_ratio", "_need", "_before", "_heavy", "_first", "_whole", "_part")
+
+
+def allocated(df: DataFrame, by: list[str], name: str, want: str, available: str, share: float = DEFAULT.max_source_share) -> DataFrame:
+    """``df`` (a row per source) with ``take`` and ``breached``: picks by availability, none above ``share`` of what
+    is wanted while the others can serve; what they cannot is dealt over what is left of all."""
+    every = Window.partitionBy(*by)
+    rows = df.withColumn("_want", F.greatest(F.lit(0), F.least(F.col(want), F.sum(available).over(every))))
+    ceiling = F.greatest(F.lit(1), F.floor(F.col("_want") * F.lit(float(share))))
+    rows = rows.withColumn("_most", F.least(F.col(available), ceiling))
+    rows = apportioned(rows, by, name, "_want", available, "_most").withColumnRenamed("take", "_one")
+    rows = rows.withColumn("_short", F.col("_want") - F.sum("_one").over(every)).withColumn("_room", F.col(available) - F.col("_one"))
+    rows = apportioned(rows, by, name, "_short", "_room", "_room")
+    return rows.withColumns({"take": F.col("take") + F.col("_one"), "breached": F.col("_short") > 0}).drop("_want", "_most", "_one", "_short", "_room")
 
 
 def balanced(df: DataFrame, shape: str = "shape", item: str = "command", share: float = DEFAULT.max_source_share, ratio: int = DEFAULT.normal_per_attack) -> DataFrame:
     """Per dataset all attacks, and normal rows up to ``ratio`` times as many, apportioned over sources and dealt over shapes.
 
-    Only the counts per (dataset, label, source) reach the driver: one number per source.
+    Quotas are a row per (dataset, source). Rows are counted per round of a source first, so
+    that only the round in which its quota ends has to be ranked.
     """
-    spark = df.sparkSession
-    counts = df.groupBy("dataset", "label", "source").agg(F.count("*").alias("n")).collect()
-    quotas = []
-    for d in sorted({r["dataset"] for r in counts}):
-        attacks = sum(r["n"] for r in counts if (r["dataset"], r["label"]) == (d, 1))
-        normal = {r["source"]: r["n"] for r in counts if (r["dataset"], r["label"]) == (d, 0)}
-        take, _ = allocate(min(sum(normal.values()), ratio * attacks), normal, share)
-        quotas += [(d, s, n) for s, n in take.items()]
-    quota = spark.createDataFrame(quotas, "dataset int, source string, quota long")
+    counts = df.groupBy("dataset", "source").agg(F.count_if(F.col("label") == 1).alias("_attacks"), F.count_if(F.col("label") == 0).alias("_normal"))
+    want = F.least(F.sum("_normal").over(Window.partitionBy("dataset")), ratio * F.sum("_attacks").over(Window.partitionBy("dataset")))
+    quota = allocated(counts.withColumn("_wanted", want), ["dataset"], "source", "_wanted", "_normal", share).select("dataset", "source", F.col("take").alias("_quota"))
     dealt = deal(df.where("label = 0"), ["dataset", "source"], shape, item, "balance")
-    turn = Window.partitionBy("dataset", "source").orderBy("round", scoped_hash("balance", shape), shape)
-    normal = dealt.withColumn("_turn", F.row_number().over(turn)).join(quota, ["dataset", "source"]).where("_turn <= quota").select(*df.columns)
+    normal = cut_rounds(dealt, quota, ["dataset", "source"], shape, "balance").select(*df.columns)
     return df.where("label = 1").unionByName(normal)
 
 
+def cut_rounds(dealt: DataFrame, quota: DataFrame, by: list[str], key: str, site: str) -> DataFrame:
+    """The first ``_quota`` rows of each ``by`` of a deal: whole rounds as far as they go, then the first by hash of the next.
+
+    A round holds one row of a key, so ranking the last one is all that one task has to do.
+    """
+    rounds = dealt.groupBy(*by, "round").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rounds = rounds.withColumn("_before", before).join(quota, by).where("_before < _quota").select(*by, "round", (F.col("_quota") - F.col("_before")).alias("_left"), "_size")
+    rows = dealt.join(rounds, [*by, "round"])
+    turn = Window.partitionBy(*by).orderBy(scoped_hash(site, key), key)
+    last = rows.where("_size > _left").withColumn("_turn", F.row_number().over(turn)).where("_turn <= _left").drop("_turn")
+    return rows.where("_size <= _left").unionByName(last).drop("_left", "_size")
+
+
+def fitting(sizes: np.ndarray, goal: int) -> np.ndarray:
+    """Which of the groups, taken in order, go into ``goal`` if one that would overshoot is passed over.
+
+    Whole stretches at a time: all before the first that overshoots go in, and what is
+    larger than the room left never will, so each round ends a stretch of any length.
+    """
+    chosen, open_ = np.zeros(len(sizes), bool), np.flatnonzero(sizes <= goal)
+    while len(open_):
+        sums = np.cumsum(sizes[open_])
+        n = int(np.searchsorted(sums, goal, "right"))
+        chosen[open_[:n]] = True
+        goal -= int(sums[n - 1]) if n else 0
+        open_ = open_[n:][sizes[open_[n:]] <= goal]
+    return chosen
+
+
 def group_split(df: DataFrame, shape: str = "shape", train: float = DEFAULT.train_fraction) -> DataFrame:
-    """Adds split: whole shape groups per (dataset, label) go to test, in hashed order, skipping those that would overshoot.
+    """Adds split: whole shape groups per (dataset, label) go to test, in hashed order, passing over those that would overshoot.
 
-    Skipping looks at the sum so far, so groups pass through one task per (dataset,
-    label); what passes is one row per group, not per item.
+    What passes through one task per (dataset, label) is a number per group, in order.
     """
     import pandas as pd
 
     groups = df.groupBy("dataset", "label", shape).agg(F.count("*").alias("n")).withColumn("_order", scoped_hash("split", shape))
 
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
+    def sides(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_order", shape])
-        goal, have, chosen = round(int(part["n"].sum()) * (1 - train)), 0, []
-        for n in part["n"].tolist():
-            fits = have + n <= goal
-            chosen.append("test" if fits else "train")
-            have += n * fits
-        return part.assign(split=chosen)[["dataset", "label", shape, "split"]]
+        sizes = part["n"].to_numpy()
+        test = fitting(sizes, round(int(sizes.sum()) * (1 - train)))
+        return part.assign(split=np.where(test, "test", "train"))[["dataset", "label", shape, "split"]]
 
     kind = f"dataset {df.schema['dataset'].dataType.simpleString()}, label {df.schema['label'].dataType.simpleString()}, {shape} string, split string"
-    return df.join(groups.groupBy("dataset", "label").applyInPandas(fill, kind), ["dataset", "label", shape])
+    return df.join(groups.groupBy("dataset", "label").applyInPandas(sides, kind), ["dataset", "label", shape])
 
 
 def with_ids(df: DataFrame, item: str = "command") -> DataFrame:

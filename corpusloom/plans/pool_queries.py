@@ -10,6 +10,7 @@ from corpusloom.functions import wellformed as W
 from corpusloom.operators import pools as P
 from corpusloom.plans import base as B
 from corpusloom.plans.catalog import query
+from corpusloom.session import stored
 from corpusloom.sources import readers
 
 
@@ -162,31 +163,50 @@ def q_innocuous_rate(spark, d):
     i = F.col("doc_id") % 4
     c = F.when(i == 0, F.concat(F.lit("ls -l "), F.regexp_extract("text", "[a-z]+", 0))).when(i == 1, "uname -a").when(i == 2, "ps aux | sh").otherwise(F.col("text"))
     rows = readers.table(spark, d, "documents").select("source", c.alias("command")).withColumn("hit", W.innocuous_alone(F.col("command")))
-    examples = F.array_join(F.slice(F.sort_array(F.collect_set(F.when(F.col("hit"), F.col("command")))), 1, 20), ";")
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.round(F.avg(F.col("hit").cast("int")), 4).alias("share"), examples.alias("examples"))
-
-
-@query()
+    counts = rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.round(F.avg(F.col("hit").cast("int")), 4).alias("share"))
+    few = rows.where("hit").select("source", "command").distinct().withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("command"))).where("k <= 20")
+    few = few.groupBy(F.col("source").alias("s")).agg(F.array_join(F.sort_array(F.collect_list("command")), ";").alias("examples"))
+    return counts.join(few, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "n", "hits", "share", F.coalesce("examples", F.lit("")).alias("examples"))
+
+
+_LEVEL = """{p}1 AS (SELECT *, least({need}, sum({most}) OVER ()) AS nd FROM {t}),
+{p}2 AS (SELECT a.*, (SELECT coalesce(sum(b.{most}), 0) FROM {p}1 b WHERE b.{most} * a.{w} < a.{most} * b.{w} OR (b.{most} * a.{w} = a.{most} * b.{w} AND b.source < a.source)) AS before,
+ (SELECT sum(b.{w}) FROM {p}1 b WHERE NOT (b.{most} * a.{w} < a.{most} * b.{w} OR (b.{most} * a.{w} = a.{most} * b.{w} AND b.source < a.source))) AS heavy FROM {p}1 a),
+{p}3 AS (SELECT *, max(CASE WHEN (nd - before) * {w} <= {most} * heavy AND heavy > 0 THEN (nd - before)::DOUBLE / heavy END) OVER () AS level FROM {p}2),
+{p}4 AS (SELECT *, CASE WHEN nd <= 0 THEN 0 WHEN level IS NULL OR (nd - before) * {w} > {most} * heavy THEN {most}::DOUBLE ELSE level * {w} END AS part FROM {p}3),
+{p}5 AS (SELECT *, floor(round(part, 9)) AS whole, row_number() OVER (ORDER BY round(part, 9) - floor(round(part, 9)) DESC, source) AS turn FROM {p}4),
+{p} AS (SELECT *, (whole + CASE WHEN turn <= nd - sum(whole) OVER () AND whole < {most} THEN 1 ELSE 0 END)::BIGINT AS take FROM {p}5)"""
+
+
+@query(f"""WITH {B.LABELLED_SQL}, c AS (SELECT source, count(*) AS available FROM labelled WHERE label = 0 GROUP BY source),
+w AS (SELECT *, (sum(available) OVER () // 2)::BIGINT AS want FROM c), v AS (SELECT *, least(available, greatest(1, floor(want * 0.05)::BIGINT)) AS most FROM w),
+{_LEVEL.format(p='one', t='v', need='want', most='most', w='available')},
+r AS (SELECT source, available, want, take AS first, want - sum(take) OVER () AS short, available - take AS room FROM one),
+{_LEVEL.format(p='two', t='r', need='short', most='room', w='room')}
+SELECT source, available, first + take AS take, short > 0 AS breached FROM two""")
 def q_allocate(spark, d):
-    """Picks per source under the share cap; goldens are unit tests."""
-    counts = {r["source"]: r["n"] for r in B.labelled(spark, d).where("label = 0").groupBy("source").agg(F.count("*").alias("n")).collect()}
-    take, breached = P.allocate(sum(counts.values()) // 2, counts)
-    return spark.createDataFrame([(s, counts[s], n, breached) for s, n in sorted(take.items())], "source string, available long, take long, breached boolean")
+    """Picks per source for half of the normal rows, none above a twentieth; sources are then made to serve beyond it."""
+    counts = B.labelled(spark, d).where("label = 0").groupBy("source").agg(F.count("*").alias("available"))
+    rows = counts.withColumns({"_all": F.lit(1), "want": F.floor(F.sum("available").over(Window.partitionBy()) / 2)})
+    return P.allocated(rows, ["_all"], "source", "want", "available", 0.05).select("source", "available", "take", "breached")
 
 
 @query()
 def q_balance(spark, d):
-    rows = B.labelled(spark, d)
+    """Rows per class and source after balancing; apportionment has its own SQL, the rest goldens in tests."""
+    return P.balanced(clean_rows(spark, d)).groupBy("dataset", "label", "source").agg(F.count("*").alias("n"))
+
+
+def clean_rows(spark, d):
+    """Labelled pool rows without conflicts, one per command: the first by source, document and line."""
+    rows = stored(B.labelled(spark, d), "labelled")
     _, drop = P.shape_conflicts(rows)
-    clean = P.keep_first(rows.join(drop, "command", "left_anti"), ["command"], ["source", "doc_id", "pos"])
-    return P.balanced(clean).groupBy("dataset", "label", "source").agg(F.count("*").alias("n"))
+    return stored(P.keep_first(rows.join(drop, "command", "left_anti"), ["command"], ["source", "doc_id", "pos"]), "clean")
 
 
 def split_rows(spark, d):
     """Labelled pool rows, one per command, with a leakage-safe split."""
-    rows = B.labelled(spark, d)
-    _, drop = P.shape_conflicts(rows)
-    return P.group_split(P.keep_first(rows.join(drop, "command", "left_anti"), ["command"], ["source", "doc_id", "pos"]))
+    return stored(P.group_split(clean_rows(spark, d)), "split")
 
 
 @query()
@@ -210,6 +230,5 @@ def q_split_straddle(spark, d):
 
 @query()
 def q_output_rows(spark, d):
-    """The final rows of a build with their seeded ids."""
-    rows = P.with_ids(P.checked(split_rows(spark, d).withColumn("command", F.concat("dataset", F.lit(" "), "command"))))
-    return rows.select("id", "command", "label", "source", "split")
+    """The final rows of a build with their seeded ids; checked() fails where an invariant is broken."""
+    return P.with_ids(P.checked(split_rows(spark, d))).select("id", "command", "label", "source", "split")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULT
@@ -9,12 +12,16 @@ from corpusloom.functions import stats as S
 from corpusloom.functions import wellformed as W
 from corpusloom.operators import matching as M
 from corpusloom.operators import ml
+from corpusloom.operators import pools as P
 from corpusloom.operators.pools import scoped_hash
 from corpusloom.plans import base as B
 from corpusloom.plans.catalog import query
 from corpusloom.plans.pool_queries import split_rows
+from corpusloom.session import stored
 from corpusloom.sources import readers
 
+#: Fits that run at a time.
+FITS = 4
 Z = DEFAULT.z95
 
 
@@ -113,16 +120,16 @@ def q_confusion_matrix(spark, d):
 _SIDE = "substr(md5('42|near|' || conv_id || '|' || turn), 1, 1) < '3'"
 
 
-@query(f"""WITH r AS (SELECT conv_id * 1000 + turn AS id, role AS source, left(text, 120) AS command, {_SIDE} AS test FROM conversations),
+@query(f"""WITH r AS (SELECT conv_id * 1000 + turn AS id, role AS source, text AS command, {_SIDE} AS test FROM conversations),
 g AS (SELECT id, source, test, CASE WHEN length(command) >= 4 THEN list_distinct(list_transform(generate_series(1, length(command) - 3), lambda i: substr(command, i, 4))) ELSE [] END AS a FROM r),
 e AS (SELECT id, source, test, len(a) AS n, unnest(a) AS gram FROM g),
 p AS (SELECT x.id, y.id AS tid, x.n AS n1, y.n AS n2, count(*) AS both_ FROM e x JOIN e y ON x.source = y.source AND x.gram = y.gram WHERE x.test AND NOT y.test GROUP BY ALL),
 b AS (SELECT id, max(both_ / (n1 + n2 - both_)) AS j FROM p GROUP BY id), t AS (SELECT g.id, source, coalesce(j, 0) AS j FROM g LEFT JOIN b USING (id) WHERE test)
 SELECT source, count(*) AS n, round(quantile_cont(j, 0.5), 6) AS median, round(quantile_cont(j, 0.9), 6) AS p90, round(max(j), 6) AS worst, count(*) FILTER (WHERE j >= 0.9) AS strict, count(*) FILTER (WHERE j >= 0.8) AS loose FROM t GROUP BY source""")
 def q_neardup_jaccard(spark, d):
-    """Nearest train neighbour of test turns by 4-gram Jaccard of their openings, per role."""
+    """Nearest train neighbour of test turns by 4-gram Jaccard of whole texts, per role."""
     test = F.substring(scoped_hash("near", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 1, 1) < "3"
-    rows = readers.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("source"), F.left("text", F.lit(120)).alias("command"), test.alias("test"))
+    rows = readers.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("source"), F.col("text").alias("command"), test.alias("test"))
     best = M.nearest_train(rows.where("test"), rows.where("not test"))
     j = F.col("jaccard")
     return best.groupBy("source").agg(F.count("*").alias("n"), F.round(F.percentile(j, F.lit(0.5)), 6).alias("median"), F.round(F.percentile(j, F.lit(0.9)), 6).alias("p90"), F.round(F.max(j), 6).alias("worst"), F.count_if(j >= DEFAULT.neardup_strict).alias("strict"), F.count_if(j >= DEFAULT.neardup_loose).alias("loose"))
@@ -164,8 +171,8 @@ def q_length_match(spark, d):
 @query()
 def q_difflib_share(spark, d):
     """Test rows with a near copy in train by sequence-matcher ratio, per role."""
-    test = F.substring(scoped_hash("near", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 1, 1) < "1"
-    rows = readers.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("source"), F.left("text", F.lit(80)).alias("command"), test.alias("test"))
+    test = F.substring(scoped_hash("near", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 1, 1) < "3"
+    rows = readers.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("source"), F.col("text").alias("command"), test.alias("test"))
     t = M.difflib_share(rows.where("test"), rows.where("not test"))
     lo, hi = S.wilson(F.col("k"), F.col("n"))
     return t.withColumns({"lo": lo, "hi": hi})
@@ -185,12 +192,11 @@ def q_bootstrap_mean(spark, d):
 
 
 def _sides(spark, d):
-    rows = split_rows(spark, d).select("command", "label", "source", "dataset", "split")
-    return rows.withColumn("command", F.left("command", F.lit(400)))
+    return split_rows(spark, d).select("command", "label", "source", "dataset", "split")
 
 
 def _fitted(train):
-    return ml.Baseline(features=1 << 14, iterations=20).fit(train)
+    return ml.Baseline().fit(train)
 
 
 @query()
@@ -198,7 +204,7 @@ def q_baseline_scores(spark, d):
     """The baseline on the held-out side of each dataset, and on its rows without addresses."""
     from corpusloom.functions.text import strip_addresses
 
-    rows, out = _sides(spark, d).cache(), None
+    rows, out = _sides(spark, d), None
     for k in (1, 2):
         own = rows.where(F.col("dataset") == k)
         score = _fitted(own.where("split = 'train'"))
@@ -212,7 +218,7 @@ def q_baseline_scores(spark, d):
 @query()
 def q_transfer(spark, d):
     """Fitted on one dataset's train side, scored on all of the other."""
-    rows, out = _sides(spark, d).cache(), None
+    rows, out = _sides(spark, d), None
     for a, b in ((1, 2), (2, 1)):
         score = _fitted(rows.where((F.col("dataset") == a) & (F.col("split") == "train")))
         one = S.make_row(score(rows.where(F.col("dataset") == b)), "label", score="score").select(F.lit(a).alias("train"), F.lit(b).alias("test"), "*")
@@ -222,39 +228,112 @@ def q_transfer(spark, d):
 
 @query()
 def q_loso(spark, d):
-    """Recall on the largest attack source when it is left out of training."""
-    rows = _sides(spark, d).cache()
-    top = rows.where("label = 1").groupBy("source").count().orderBy(F.desc("count"), "source").first()
-    train = rows.where((F.col("split") == "train") & (F.col("source") != top["source"]))
-    if train.select("label").distinct().count() < 2:
-        return spark.createDataFrame([], "source string, k long, n long, lo double, hi double")
-    held = _fitted(train)(rows.where((F.col("split") == "test") & (F.col("source") == top["source"]) & (F.col("label") == 1)))
-    t = held.agg(F.lit(top["source"]).alias("source"), F.count_if(F.col("score") > DEFAULT.threshold).alias("k"), F.count("*").alias("n"))
+    """Recall on every attack source when it is left out of training, per dataset, with what is kept and lost.
+
+    A source without which the training side has one class is skipped. A fit per source; several run at a time.
+    """
+    rows = _sides(spark, d)
+    counts = rows.groupBy("dataset", "source", "label").agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test")).collect()  # a row per source and label
+    held = sorted({(r["dataset"], r["source"]) for r in counts if r["label"] == 1 and r["test"]})
+    fit_for = [(k, s) for k, s in held if len({r["label"] for r in counts if r["dataset"] == k and r["source"] != s and r["train"]}) == 2]
+
+    def one(task):
+        own, name = rows.where(F.col("dataset") == task[0]), task[1]
+        score = _fitted(own.where((F.col("split") == "train") & (F.col("source") != name)))
+        test = own.where((F.col("split") == "test") & (F.col("source") == name) & (F.col("label") == 1))
+        return score(test).agg(F.count_if(F.col("score") > DEFAULT.threshold).alias("k"), F.count("*").alias("n")).first()
+
+    with ThreadPool(FITS) as pool:
+        found = pool.map(one, fit_for)
+    t = spark.createDataFrame([(k, s, r["k"], r["n"]) for (k, s), r in zip(fit_for, found, strict=True)], "dataset int, source string, k long, n long")
     lo, hi = S.wilson(F.col("k"), F.col("n"))
-    return t.withColumns({"lo": lo, "hi": hi})
+    rate = F.col("k") / F.col("n")
+    return t.withColumns({"lo": lo, "hi": hi, "fate": F.when(rate >= 0.9, "kept").when(rate < 0.5, "lost").otherwise("weakened")})
 
 
 @query()
 def q_source_separability(spark, d):
     """Whether a classifier can tell normal rows of one language from another, with floor and headroom."""
     docs = readers.table(spark, d, "documents")
-    rows = docs.select(F.left("text", F.lit(200)).alias("command"), "lang", F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")).cast("int").alias("label"), "doc_id")
+    rows = docs.select(F.col("text").alias("command"), "lang", F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")).cast("int").alias("label"), "doc_id")
     test = F.substring(scoped_hash("sep", F.col("doc_id").cast("string")), 1, 1) < "4"
     rows = rows.withColumn("test", test).withColumn("label", (F.col("label") - 1).cast("double"))
-    out = ml.Baseline(features=1 << 12, iterations=20).fit(rows.where("not test"))(rows.where("test"))
+    out = ml.Baseline().fit(rows.where("not test"))(rows.where("test"))
     m = S.macro_f1(out, "label", "prediction")
     raw, norm = F.col("macro_f1"), F.col("norm")
     return m.withColumn("verdict", F.when((raw > 0.90) | (norm > 0.85), "FAIL").when((raw > 0.75) | (norm > 0.75), "INFO").otherwise("PASS"))
 
 
+@query()
+def q_pool_conflict_routes(spark, d):
+    """Label noise by its three routes: exact conflicts, shape conflicts, and normal rows that look like attacks."""
+    rows = stored(B.labelled(spark, d), "labelled")
+    report, _ = P.shape_conflicts(rows)
+    scrub = rows.where("label = 0").groupBy("dataset").agg(F.count_if(W.needs_scrub(F.col("command"))).alias("n"))
+    named = lambda df, name, c: df.select("dataset", F.lit(name).alias("route"), F.col(c).alias("n"))
+    return named(report, "exact", "exact").unionByName(named(report, "shape", "rows_hit")).unionByName(named(scrub, "scrub", "n"))
+
+
+@query()
+def q_pairwise_separability(spark, d):
+    """Fits of every pair of languages' documents against each other: macro-F1, floor, headroom, and the mean's verdict.
+
+    A pair with fewer than 25 rows of a side in training or 10 in test is skipped; sides are
+    capped at 3,000 rows by hash, which is the probe's own rule.
+    """
+    test = F.substring(scoped_hash("sep", F.col("doc_id").cast("string")), 1, 1) < "4"
+    docs = readers.table(spark, d, "documents").select(F.col("text").alias("command"), "lang", "doc_id", test.alias("test"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(scoped_hash("pair", F.col("doc_id").cast("string")), "doc_id"))
+    docs = stored(docs.withColumn("_rank", rank).where(F.col("_rank") <= DEFAULT.separability_cap).drop("_rank"), "sides")
+    sizes = {r["lang"]: (r["train"], r["test"]) for r in docs.groupBy("lang").agg(F.count_if(~F.col("test")).alias("train"), F.count_if("test").alias("test")).collect()}  # a row per side
+    good = sorted(x for x, (a, b) in sizes.items() if x is not None and a >= DEFAULT.separability_min_train and b >= DEFAULT.separability_min_test)
+
+    def one(pair):
+        rows = docs.where(F.col("lang").isin(*pair)).withColumn("label", (F.col("lang") == pair[1]).cast("double"))
+        out = ml.Baseline().fit(rows.where("not test"))(rows.where("test"))
+        return S.macro_f1(out, "label", "prediction").first()
+
+    pairs = [(a, b) for i, a in enumerate(good) for b in good[i + 1 :]]
+    with ThreadPool(FITS) as pool:
+        found = pool.map(one, pairs)
+    rows = [(a, b, r["macro_f1"], r["floor"], r["norm"]) for (a, b), r in zip(pairs, found, strict=True)]
+    out = spark.createDataFrame(rows, "a string, b string, macro_f1 double, floor double, norm double")
+    every = Window.partitionBy()
+    bad = (F.avg("macro_f1").over(every) > 0.90) | (F.avg("norm").over(every) > 0.85)
+    return out.withColumns({"exact": F.col("macro_f1") >= 1.0, "verdict": F.when(bad, "FAIL").otherwise("PASS")})
+
+
+@query()
+def q_length_model(spark, d):
+    """The length-only model on the test side of each dataset, whole and matched by length."""
+    rows, out = _sides(spark, d).withColumns({"id": F.xxhash64("command"), "n": F.length("command").cast("long")}), None
+    for k in (1, 2):
+        own = rows.where(F.col("dataset") == k)
+        test = own.where("split = 'test'")
+        pairs = M.length_match(test, ["dataset"])
+        matched = test.join(pairs.select(F.explode(F.array("attack", "normal")).alias("id")), "id", "left_semi")
+        score = ml.length_model(own.where("split = 'train'"))
+        for name, part in (("test", test), ("matched", matched)):
+            one = S.make_row(score(part), "label", score="score").select(F.lit(k).alias("dataset"), F.lit(name).alias("setting"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def q_probe_summary(spark, d):
-    """All cheap probes with their verdicts."""
-    rows = B.scored_documents(spark, d).withColumn("hit", W.has_marker(F.col("text")))
-    recall = S.score_row(rows, "label", F.col("hit")).select(F.lit("selection_regex").alias("probe"), F.col("recall").alias("value"))
+    """The probes that need no fit, with their verdicts: selection regex, rows per shape and cap on the pool, straddle, near-dup."""
+    scored = B.scored_documents(spark, d).withColumn("hit", W.has_marker(F.col("text")))
+    recall = S.score_row(scored, "label", F.col("hit")).select(F.lit("selection_regex").alias("probe"), F.col("recall").alias("value"))
+    pool = B.shaped(spark, d)
+    least = P.pool_shapes(pool, ["source"], "shape").agg(F.min("rows_per_shape").alias("value")).select(F.lit("rows_per_shape").alias("probe"), "value")
+    capped = P.pool_shapes(P.cap_per_shape(pool, ["source"], "shape", "command"), ["source"], "shape").agg(F.max("max_in_shape").cast("double").alias("value")).select(F.lit("cap").alias("probe"), "value")
     split = split_rows(spark, d)
-    over = split.groupBy("label", "shape").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).cast("double").alias("value")).select(F.lit("straddle").alias("probe"), "value")
-    shapes = split.groupBy("source", "shape").count().groupBy("source").agg((F.sum("count") / F.count("*")).alias("r")).agg(F.max("r").alias("value")).select(F.lit("rows_per_shape").alias("probe"), "value")
-    v = F.col("value")
-    bad = F.when(F.col("probe") == "selection_regex", F.when(v >= 0.5, "FAIL").when(v > 0.3, "INFO").otherwise("PASS")).when(F.col("probe") == "straddle", F.when(v > 0, "FAIL").otherwise("PASS")).otherwise(F.when(v >= 10, "FAIL").when(v >= 1.5, "INFO").otherwise("PASS"))
-    return recall.unionByName(over).unionByName(shapes).withColumn("verdict", bad)
+    over = split.groupBy("label", "shape", "dataset").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).cast("double").alias("value")).select(F.lit("straddle").alias("probe"), "value")
+    rows = split.withColumn("id", F.xxhash64("command"))
+    near = M.nearest_train(rows.where("split = 'test'"), rows.where("split = 'train'"))
+    near = near.groupBy("source").agg(F.avg((F.col("jaccard") >= DEFAULT.neardup_strict).cast("int")).alias("share")).agg(F.max("share").alias("value")).select(F.lit("near_dup").alias("probe"), "value")
+    out = recall.unionByName(least).unionByName(capped).unionByName(over).unionByName(near)
+    v, p = F.col("value"), F.col("probe")
+    verdict = F.when(p == "selection_regex", F.when(v >= 0.5, "FAIL").when(v > 0.3, "INFO")).when(p == "rows_per_shape", F.when(v < 1.5, "FAIL").when(v < 10, "INFO"))
+    verdict = verdict.when(p == "cap", F.when(v > DEFAULT.max_per_shape, "FAIL")).when(p == "straddle", F.when(v > 0, "FAIL")).when(p == "near_dup", F.when(v >= 0.10, "FAIL"))
+    return out.withColumn("verdict", F.coalesce(verdict, F.lit("PASS")))

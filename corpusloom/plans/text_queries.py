@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import shape as shapes
@@ -10,7 +11,7 @@ from corpusloom.functions import wellformed as W
 from corpusloom.operators.pools import keep_first, scoped_hash
 from corpusloom.plans import base as B
 from corpusloom.plans.catalog import query
-from corpusloom.sources import parsers, readers
+from corpusloom.sources import readers
 
 
 @query(f"WITH {B.NORM_SQL} SELECT doc_id, pos, command FROM norm")
@@ -79,9 +80,11 @@ def q_fake_ip(spark, d):
     return found.withColumn("fake", T.fake_ip(F.col("ip")))
 
 
-@query(f"WITH {B.SHAPED_SQL} SELECT source, md5(shape) AS shape, count(*) AS n FROM shaped GROUP BY ALL")
+@query(f"WITH {B.POOL_SQL} SELECT source, md5({B.CORE_SQL}) AS shape, count(*) AS n FROM pool WHERE {B._NO_RULE} GROUP BY ALL")
 def q_shape_core(spark, d):
-    return B.shaped(spark, d).groupBy("source", F.md5("shape").alias("shape")).agg(F.count("*").alias("n"))
+    """Quotes, hex runs and numbers only."""
+    rows = B.pool(spark, d).where("size(violations) = 0")
+    return rows.groupBy("source", F.md5(shapes.core(F.col("command"))).alias("shape")).agg(F.count("*").alias("n"))
 
 
 # commands put together from a document's first words, so that these rules have something to do
@@ -106,11 +109,10 @@ def q_shape_bind(spark, d):
     return _built(spark, d, "for ", 0, " in $", 1, "; do read -r ", 2, "; echo ${#", 3, "}; done").select("doc_id", shapes.bindings(F.col("command")).alias("shape"))
 
 
-@query()
+@query(f"WITH {B.SHAPED_SQL} SELECT source, md5(shape) AS shape, count(*) AS n FROM shaped GROUP BY ALL")
 def q_shape_full(spark, d):
-    """Distinct full shapes per source; the token machine is beyond SQL and has unit tests."""
-    rows = B.pool(spark, d).where("size(violations) = 0").select("source", shapes.shape("command").alias("shape"))
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("shape").alias("n_shapes"))
+    """Rows per whole fingerprint and source."""
+    return B.shaped(spark, d).groupBy("source", F.md5("shape").alias("shape")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {B.POOL_SQL} SELECT source, doc_id, pos, md5(command) AS digest FROM pool")
@@ -132,15 +134,15 @@ def q_drop_reasons(spark, d):
 @query("""SELECT source, round(quantile_cont(length(text), 0.5), 6) AS median, round(quantile_cont(length(text), 0.9), 6) AS p90, max(length(text)) AS longest, round(avg((length(text) >= 2000)::INT), 6) AS share_long,
 list_sort(list(length(text)))[(count(*) / 2)::BIGINT + CASE WHEN count(*) % 2 = 1 THEN 0 ELSE 1 END] AS by_index FROM documents GROUP BY source""")
 def q_length_quantiles(spark, d):
-    """Interpolated quantiles, and the element at half the length of the sorted list."""
+    """Interpolated quantiles, and the element at half the length of the sorted list, from counts per length."""
     n = F.length("text")
-    return readers.table(spark, d, "documents").groupBy("source").agg(
-        F.round(F.percentile(n, F.lit(0.5)), 6).alias("median"),
-        F.round(F.percentile(n, F.lit(0.9)), 6).alias("p90"),
-        F.max(n).cast("long").alias("longest"),
-        F.round(F.avg((n >= 2000).cast("int")), 6).alias("share_long"),
-        F.get(F.sort_array(F.collect_list(n)), F.floor(F.count("*") / 2).cast("int")).cast("long").alias("by_index"),
-    )
+    docs = readers.table(spark, d, "documents")
+    by = Window.partitionBy("s")
+    counts = docs.groupBy(F.col("source").alias("s"), n.cast("long").alias("n")).agg(F.count("*").alias("k"))
+    counts = counts.withColumns({"upto": F.sum("k").over(by.orderBy("n")), "all": F.sum("k").over(by)})
+    middle = counts.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("s").agg(F.min("n").alias("by_index"))
+    stats = docs.groupBy("source").agg(F.round(F.percentile(n, F.lit(0.5)), 6).alias("median"), F.round(F.percentile(n, F.lit(0.9)), 6).alias("p90"), F.max(n).cast("long").alias("longest"), F.round(F.avg((n >= 2000).cast("int")), 6).alias("share_long"))
+    return stats.join(middle, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
 _PROFILE = r"WITH t AS (SELECT source, regexp_extract(text, '^\S+', 0) AS token FROM documents), k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\S+')) AS token FROM benchmark)"
@@ -200,19 +202,3 @@ def q_first_by_hash(spark, d):
     """One row per key, by hash order: paged ids keep their first."""
     rows = readers.table(spark, d, "events").withColumn("h", scoped_hash("page", F.col("event_id").cast("string")))
     return keep_first(rows, ["user_id"], ["h", "event_id"]).select("event_id", "user_id")
-
-
-@query()
-def q_fences(spark, d):
-    """Fenced blocks of pages, read from a Markdown rendering of their paragraphs."""
-    pages = readers.table(spark, d, "pages").select("page_id", F.concat(F.lit("intro\n```bash\n"), F.regexp_replace("html", "<[^>]*>", "\n"), F.lit("\n```\n")).alias("text"))
-    return parsers.blocks(pages, "page_id").groupBy("page_id", "lang").agg(F.count("*").alias("n_lines"))
-
-
-@query()
-def q_heredoc(spark, d):
-    """Documents behind a here-document opener: one command each when bodies are merged."""
-    docs = readers.table(spark, d, "documents").select("doc_id", F.concat(F.lit("cat <<END\n"), "text", F.lit("\nEND\nls")).alias("text"))
-    return parsers.merged_heredocs(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_commands"), F.max(F.length("command")).alias("longest"))
-
-

@@ -40,6 +40,8 @@ def shared_root(spark: SparkSession) -> str:
     """The application's own folder below ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = _fallback.setdefault(app, "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
     root = f"{base.rstrip('/')}/corpusloom-{app}"

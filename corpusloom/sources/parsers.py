@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FENCE = re.compile(r"^\s*(`{3,}|~{3,})\s*([\w+-]*)")
-OPENER = re.compile(r"<<(-?)\s*(['\"]?)([A-Za-z_][A-Za-z0-9_]*)\2")
+OPENER = re.compile(r"<<-?\s*[\"']?([A-Za-z_][A-Za-z0-9_]*)[\"']?")
 
 
 def fenced_blocks(text: str) -> Iterator[tuple[str, list[str]]]:
@@ -30,24 +31,28 @@ def fenced_blocks(text: str) -> Iterator[tuple[str, list[str]]]:
 
 
 def heredocs(lines: list[str], policy: str = "merge") -> list[str]:
-    """Here-documents in a list of lines: ``merge`` into one line, ``drop`` the body, or ``reject`` the command."""
-    out: list[str] = []
-    rest = iter(lines)
-    for line in rest:
-        found = OPENER.search(line)
-        if not found:
-            out.append(line)
-            continue
-        body = []
-        for inner in rest:
-            if (inner.lstrip("\t") if found[1] else inner) == found[3]:
-                body.append(inner)
-                break
-            body.append(inner)
-        if policy == "merge":
-            out.append("\n".join([line, *body]))
-        elif policy == "drop":
-            out.append(line)
+    """Here-documents in a list of lines: ``merge`` into one line, ``drop`` the body, or ``reject`` the command.
+
+    A body ends at a line that is the marker but for blanks around it, or with the text; a
+    here-string (``<<<``) has none. Merged lines lose the blanks around them and are joined
+    by one space.
+    """
+    ends: dict[str, list[int]] = {}
+    for n, line in enumerate(lines):
+        ends.setdefault(line.strip(), []).append(n)
+    out, at = [], 0
+    while at < len(lines):
+        found = None if "<<<" in lines[at] else OPENER.search(lines[at])
+        after = at + 1
+        if found:
+            closing = ends.get(found[1], [])
+            k = bisect.bisect_left(closing, after)
+            after = closing[k] + 1 if k < len(closing) else len(lines)
+        if not found or policy == "drop":
+            out.append(lines[at])
+        elif policy == "merge":
+            out.append(" ".join(x.strip() for x in lines[at:after]))
+        at = after
     return out
 
 

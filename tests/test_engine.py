@@ -63,11 +63,14 @@ def test_atoms_and_quotes(spark):
 
 
 def test_small_scalars(spark):
-    assert one(spark, ["ls x # why", "echo '# no'", "a#b", "# all"], T.strip_comment) == ["ls x", "echo '# no'", "a#b", "# all"]
-    assert one(spark, ["me@box:~$ ls", "$ ls", "> ls", "ls"], T.strip_prompt) == ["ls"] * 4
+    assert one(spark, ["ls x # why", "echo '# no'", "a#b", "# all", "  # only", "a 'b # c", "x \t# y # z", None, "a" * 4096, "ab " * 300_000 + "# c", "a 'b' " * 200_000], T.strip_comment) == ["ls x", "echo '# no'", "a#b", "# all", "", "a 'b # c", "x", None, "a" * 4096, ("ab " * 300_000).strip(), "a 'b' " * 200_000]
+    assert one(spark, ["me@box:~$ ls", "  $ ls", "> ls", "ls", " me@b:/x # ls"], T.strip_prompt) == ["ls"] * 5
     assert one(spark, ["a {{b}} {{c d}}"], T.unwrap_braces) == ["a b c d"]
     assert one(spark, ["```bash\nls\n```"], T.strip_fence) == ["ls"]
-    assert one(spark, ["a \\\n b", "a \\\\\n b"], T.join_continuations) == ["a  b", "a \\\\\n b"]
+    assert one(spark, ["a \\\n b", "a \\\\\n b", "a \\ \n\t b\\\nc\nd \\", "x\\\n" * 50_000], T.join_continuations) == ["a b", "a \\\\\n b", "a b c\nd", "x " * 49_999 + "x "]
+    assert one(spark, ["a \\\\\n b"], lambda c: T.join_continuations(c, pairs=False)) == ["a \\ b"]
+    out, changed = T.substituted(F.col("x"), [("a", "b"), ("bb", "c")])
+    assert [tuple(r) for r in spark.createDataFrame([("ab",), ("x",)], "x string").select(out, changed).collect()] == [("c", True), ("x", False)]
     assert one(spark, ["&lt;a&amp;lt;&gt;"], T.unescape_html) == ["<a&lt;>"]
     assert one(spark, ["cp <a> <b>"], lambda c: T.fill_placeholders(c, {"<a>": "1", "<b>": "2"})) == ["cp 1 2"]
     df = spark.createDataFrame([("x #{a}", {"a": "#{b}!", "b": "deep"})], "c string, m map<string,string>")
@@ -92,16 +95,16 @@ def test_rule_counts_are_violations(spark):
 
 
 def test_shape(spark):
-    a = 'export 3nu1_1="40.58.24.116";export 3nu1_2=60005;python -c \'x\''
-    b = 'export g4b5_1="13.166.181.83";export g4b5_2=8000;python -c \'y\''
-    assert shapes.shape_of(a) == shapes.shape_of(b)
-    assert shapes.shape_of("/bin/x /tmp/Muw3fuvA") == "/bin/x /tmp/R"
-    assert all(map(shapes.random_looking, ["PIALH", "j6rslnsu", "Ab3cDe"]))
-    assert not any(map(shapes.random_looking, ["python3", "base64", "md5sum", "rsync", "dpkg", "abc"]))
-    assert shapes.shape_of("x alwaysonexclavesd") == "x alwaysonexclavesd"
-    assert shapes.shape_of("echo a | sort") == "echo a|sort"
-    assert shapes.shape_of("for i in $LIST; do echo ${i} 12; done") == "for V in $V;do echo ${V}N;done"
-    assert one(spark, [a, None], shapes.shape) == [shapes.shape_of(a), None]
+    cases = {
+        'export 3nu1_1="40.58.24.116";export 3nu1_2=60005;python -c \'x\'': "export V=Q;export V=N;python -c Q",
+        "/bin/x /tmp/Muw3fuvA": "/bin/x /tmp/R", "x alwaysonexclavesd": "x alwaysonexclavesd", "x Alwaysonexclavesd": "x B", "echo a | sort": "echo a|sort",
+        "for i in $LIST; do echo ${i} 12; done": "for V in $V;do echo ${V}N;done", "sudo -u root env A=1 XKCD 7z9qk3bb": "sudo -u root env A=1 R R",
+        "timeout 5 -k XKCD XKCD": "timeout N -k XKCD R", "env A=1 C+=2 XKCD": "env V=N V+=N XKCD", "unset Q abc XKCD-1": "unset Q abc R-N",
+        "busybox XKCD9": "busybox R", "": "", None: None, "oz" * 2500: "oz" * 2500, "x " + "$$" * 2000: "x " + "$$" * 2000,
+    }
+    assert dict(zip(cases, one(spark, list(cases), shapes.shape))) == cases
+    runs = ["PIALH", "j6rslnsu", "Ab3cDe", "XKCD", "bcdfgh", "python3", "base64", "md5sum", "rsync", "dpkg", "abc", "Abc12"]
+    assert one(spark, runs, shapes.random_looking) == [True] * 5 + [False] * 7
     assert one(spark, ["echo 'x' deadbeef00 12"], shapes.core) == ["echo Q H N"]
     assert one(spark, ["cat ~/x a/tmp/y"], shapes.scratch) == ["cat ~/R a/tmp/y"]
     assert one(spark, ["read -r name $x"], shapes.bindings) == ["read -r V $V"]
@@ -128,18 +131,39 @@ def test_scores(spark):
         S.make_row(spark.createDataFrame(rows, "label int, score double"), "label")
 
 
-def test_allocation():
-    assert P.allocate(7182, {"bash_history": 46310, "commandlinefu": 6667}, 0.70)[0] == {"bash_history": 5027, "commandlinefu": 2155}
-    take, breached = P.allocate(10, {"a": 100, "b": 1}, 0.7)
-    assert take == {"a": 9, "b": 1} and breached
-    assert P.allocate(0, {"a": 3}, 0.7) == ({"a": 0}, False)
-    assert sum(P.allocate(1, {"a": 3, "b": 3}, 0.7)[0].values()) == 1
+def by_hand(need, weight, limit):
+    """Apportionment one unit of excess at a time: who would pass the limit stays there, the rest share again."""
+    need, got = min(need, sum(limit.values())), {s: 0 for s in weight}
+    free = {s for s in weight if limit[s] and weight[s]}
+    while need and free:
+        part = {s: need * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = {s for s in free if part[s] > limit[s]}
+        if not full:
+            spare = need - sum(map(int, part.values()))
+            first = sorted(free, key=lambda s: (-(part[s] - int(part[s])), s))[:spare]
+            return got | {s: int(part[s]) + (s in first) for s in free}
+        got |= {s: limit[s] for s in full}
+        need -= sum(limit[s] for s in full)
+        free -= full
+    return got
+
+
+def test_allocation(spark):
     rnd = random.Random(4)
-    for _ in range(300):
-        have = {f"s{i}": rnd.randint(0, 50) for i in range(rnd.randint(1, 6))}
-        want = rnd.randint(0, 120)
-        take, _ = P.allocate(want, have, 0.5)
-        assert sum(take.values()) == min(want, sum(have.values())) and all(take[s] <= have[s] for s in have)
+    cases = [(7182, {"bash_history": 46310, "commandlinefu": 6667}, 0.70), (10, {"a": 100, "b": 1}, 0.70), (0, {"a": 3}, 0.70), (1, {"a": 3, "b": 3}, 0.70)]
+    cases += [(rnd.randint(0, 120), {f"s{i}": rnd.randint(0, 50) for i in range(rnd.randint(1, 6))}, 0.70) for _ in range(200)]
+    rows = [(k, want, s, n) for k, (want, have, _) in enumerate(cases) for s, n in have.items()]
+    got = {}
+    for r in P.allocated(spark.createDataFrame(rows, "k int, want long, source string, n long"), ["k"], "source", "want", "n", 0.70).collect():
+        got.setdefault(r["k"], {})[r["source"]] = (r["take"], r["breached"])
+    assert got[0] == {"bash_history": (5027, False), "commandlinefu": (2155, False)} and got[1] == {"a": (9, True), "b": (1, True)}
+    for k, (want, have, share) in enumerate(cases):
+        want = min(want, sum(have.values()))
+        take = by_hand(want, have, {s: min(n, max(1, int(want * share))) for s, n in have.items()}) if want else dict.fromkeys(have, 0)
+        short = want - sum(take.values())
+        room = {s: have[s] - take[s] for s in have}
+        more = by_hand(short, room, room) if short else dict.fromkeys(have, 0)
+        assert got[k] == {s: (take[s] + more[s], short > 0) for s in have}, (k, want, have)
 
 
 def pool(spark, n=400):
@@ -243,7 +267,8 @@ def test_parsers(spark):
     text = "a\n```sh\nx\ny\n```\n~~~\nz"
     assert list(parsers.fenced_blocks(text)) == [("sh", ["x", "y"]), ("", ["z"])]
     lines = ["cat <<'E' > f", "a", "E", "ls"]
-    assert parsers.heredocs(lines) == ["cat <<'E' > f\na\nE", "ls"]
+    assert parsers.heredocs(lines) == ["cat <<'E' > f a E", "ls"]
+    assert parsers.heredocs(["tr a b <<<E", "x", "cat <<-E", "\ta ", "\t E ", "y", "cat <<Z", "open"]) == ["tr a b <<<E", "x", "cat <<-E a E", "y", "cat <<Z open"]
     assert parsers.heredocs(lines, "drop") == ["cat <<'E' > f", "ls"]
     assert parsers.heredocs(lines, "reject") == ["ls"]
     assert list(parsers.yaml_codes({"a": [{"code": "x"}, {"b": {"code": "y", "c": 1}}]})) == ["x", "y"]
