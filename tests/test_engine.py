@@ -98,7 +98,7 @@ def test_shape(spark):
     cases = {
         'export 3nu1_1="40.58.24.116";export 3nu1_2=60005;python -c \'x\'': "export V=Q;export V=N;python -c Q",
         "/bin/x /tmp/Muw3fuvA": "/bin/x /tmp/R", "x alwaysonexclavesd": "x alwaysonexclavesd", "x Alwaysonexclavesd": "x B", "echo a | sort": "echo a|sort",
-        "for i in $LIST; do echo ${i} 12; done": "for V in $V;do echo ${V}N;done", "sudo -u root env A=1 XKCD 7z9qk3bb": "sudo -u root env A=1 R R",
+        "for i in $LIST; do echo ${i} 12; done": "for V in $V;do echo ${V}N;done", "sudo -u root env A=1 XKCD 7z9qk3bb": "sudo -u root env A=N R R",
         "timeout 5 -k XKCD XKCD": "timeout N -k XKCD R", "env A=1 C+=2 XKCD": "env V=N V+=N XKCD", "unset Q abc XKCD-1": "unset Q abc R-N",
         "busybox XKCD9": "busybox R", "": "", None: None, "oz" * 2500: "oz" * 2500, "x " + "$$" * 2000: "x " + "$$" * 2000,
     }
