@@ -116,13 +116,13 @@ def scored(urls: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def calibrate(held: DataFrame) -> float:
-    """The threshold with the least sum of error rates on scored urls; ties go to the one nearest 0, and without both kinds it is 0."""
+    """The threshold with the least sum of error rates on scored urls, of 0 and the borders of scores that occur; ties go to the one nearest 0, and without both kinds it is 0."""
     bars = held.groupBy(F.floor(F.col("score") / BAR).alias("bar"), "verdict").agg(F.count("*").alias("n"))
     rows = bars.collect()  # scores lie between the logs of the least and greatest likelihood: bounded
     good, bad = ({r["bar"]: r["n"] for r in rows if r["verdict"] == v} for v in ("allow", "block"))
     if not good or not bad:
         return 0.0
-    edges = sorted({*good, *bad, *(k + 1 for k in (*good, *bad))})
+    edges = sorted({0, *good, *bad, *(k + 1 for k in (*good, *bad))})  # between kinds that lie apart, 0 is as good as any
     n_good, n_bad = sum(good.values()), sum(bad.values())
     lost, passed, best = 0, n_bad, []
     for e in edges:

@@ -413,7 +413,7 @@ def test_url_scores_against_plain_models(spark):
     assert held and len({k for _, k in held}) == 2
     good, bad = ([s for s, k in held if k == v] for v in ("allow", "block"))
     bars = {int(np.floor(s / urls.BAR)) for s, _ in held}
-    limit = min((sum(np.floor(s / urls.BAR) < e for s in good) / len(good) + sum(np.floor(s / urls.BAR) >= e for s in bad) / len(bad), abs(e), e) for e in bars | {b + 1 for b in bars})[2] * urls.BAR
+    limit = min((sum(np.floor(s / urls.BAR) < e for s in good) / len(good) + sum(np.floor(s / urls.BAR) >= e for s in bad) / len(bad), abs(e), e) for e in bars | {b + 1 for b in bars} | {0})[2] * urls.BAR
     open_ = 0
     for i, u in enumerate(rows):
         r = got[f"p{i}"]
