@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, embeddings, lines, mixing, packing, pii, quality, simhash, urls, warc
+from corpusloom.llm import chat, clustering, embeddings, fingerprints, lines, mixing, packing, pii, quality, simhash, spelling, urls, warc
 from corpusloom.llm.common import table
 
 
@@ -68,7 +68,22 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_formatting, op3_best_fit_packing, op4_warc, op5_pii, op6_embedding_dedup, op7_line_dedup, op8_url_filter, op9_simhash, op10_quality_rules)}
+def op11_spelling_variants(spark, sf_dir):
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variant_report(table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark, sf_dir):
+    """All documents and their edited texts with fingerprints and likenesses."""
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark, sf_dir):
+    """All embeddings in 16 clusters."""
+    return clustering.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_formatting, op3_best_fit_packing, op4_warc, op5_pii, op6_embedding_dedup, op7_line_dedup, op8_url_filter, op9_simhash, op10_quality_rules, op11_spelling_variants, op12_fingerprints, op13_centroid_clustering)}
 #: SQL for the queries that SQL can express; the others have brute-force tests.
 ORACLE: dict[str, str] = {}
 
@@ -130,3 +145,84 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 
 ORACLE["op10_quality_rules"] = _quality_sql()
+
+
+def _crc_sql() -> str:
+    """Tables for the CRC-32 of (doc_id, run): e(k, b, v), what a byte does that k bytes follow, and s(k, v), what the start does after k bytes.
+
+    The checksum is linear, so that of a text is the exclusive or of its bytes' parts.
+    """
+    step = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    bits = ", ".join(f"b{i + 1} AS (SELECT b, {step.format('v')} AS v FROM b{i})" for i in range(8))
+    return f"""b0 AS (SELECT range AS b, range::BIGINT AS v FROM range(256)), {bits}, t AS MATERIALIZED (SELECT b, v FROM b8),
+e AS (SELECT 0 AS k, b, v FROM t UNION ALL SELECT k + 1, e.b, xor(e.v >> 8, t.v) FROM e JOIN t ON t.b = e.v & 255 WHERE k < (SELECT max(size) FROM sized)),
+s AS (SELECT 0 AS k, 4294967295 AS v UNION ALL SELECT k + 1, xor(s.v >> 8, t.v) FROM s JOIN t ON t.b = s.v & 255 WHERE k < (SELECT max(size) FROM sized))"""
+
+
+def _spelling_sql() -> str:
+    lower = f"translate(x, '{spelling.UPPER}', '{spelling.LOWER}')"
+    return f"""
+WITH RECURSIVE x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS x FROM documents),
+r AS MATERIALIZED (SELECT doc_id, {lower} AS run, count(*) AS times FROM x WHERE length(x) >= 5 GROUP BY ALL),
+sized AS MATERIALIZED (SELECT doc_id, run, times, doc_id::VARCHAR || ':' || run AS m, strlen(doc_id::VARCHAR || ':' || run) AS size FROM r),
+{_crc_sql()},
+c AS (SELECT doc_id, run, m, size, unnest(string_split(m, '')) AS c, generate_subscripts(string_split(m, ''), 1) AS i FROM sized),
+y AS (SELECT *, unicode(c) AS u, sum(strlen(c)) OVER (PARTITION BY doc_id, run ORDER BY i) AS upto FROM c),
+z AS (SELECT doc_id, run, size - upto + d AS k, CASE WHEN u < 128 THEN u WHEN d = 1 THEN 192 | (u >> 6) ELSE 128 | (u & 63) END AS b FROM (SELECT *, unnest(CASE WHEN u < 128 THEN [0] ELSE [1, 0] END) AS d FROM y)),
+h AS (SELECT z.doc_id, z.run, bit_xor(e.v) AS v FROM z JOIN e ON e.k = z.k AND e.b = z.b GROUP BY ALL),
+a AS (SELECT sized.run, times, xor(xor(h.v, s.v), 4294967295) AS crc FROM sized JOIN h USING (doc_id, run) JOIN s ON s.k = sized.size),
+w AS (SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2) ELSE run END AS word, times FROM a),
+v AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+p AS MATERIALIZED (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS k, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n FROM p a JOIN p b ON a.k = b.k AND a.word <> b.word
+  UNION SELECT p.word, v.word, v.n FROM p JOIN v ON v.word = p.cut UNION SELECT v.word, p.word, p.n FROM p JOIN v ON v.word = p.cut),
+best AS (SELECT word, count(*) AS n_near, min((-n, other)) AS b FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * v.n THEN b[2] END AS form, CASE WHEN -b[1] >= 2 * v.n THEN -b[1] END AS form_n FROM v LEFT JOIN best USING (word)),
+g AS (SELECT word, coalesce(form, word) AS top, 0 AS depth FROM f UNION ALL SELECT g.word, f.form, depth + 1 FROM g JOIN f ON f.word = g.top WHERE f.form IS NOT NULL AND g.top <> g.word),
+o AS (SELECT word, arg_max(top, depth) AS root FROM g GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN o USING (word)"""
+
+
+ORACLE["op11_spelling_variants"] = _spelling_sql()
+
+
+def _fingerprint_sql() -> str:
+    half = fingerprints.BITS // 2
+    bits = ", ".join(f"coalesce(sum(CASE WHEN (h{i // half} >> {half - 1 - i % half}) & 1 = 1 THEN w ELSE -w END), 0) > 0 AS b{i}" for i in range(fingerprints.BITS))
+    digits = " || ".join("substr('0123456789abcdef', 1 + " + " + ".join(f"{8 >> j} * b{4 * d + j}::INT" for j in range(4)) + ", 1)" for d in range(fingerprints.BITS // 4))
+    size = fingerprints.SHINGLE
+    far = lambda a, b: "(" + " + ".join(f"bit_count(xor(('0x' || substr({a}, {8 * i + 1}, 8))::BIGINT, ('0x' || substr({b}, {8 * i + 1}, 8))::BIGINT))" for i in range(4)) + ")"
+    like = lambda a, b: f"round(greatest(0, cos(pi() * {far(a, b)} / {fingerprints.BITS})), 6)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next, coalesce(lead(t) OVER w, first_value(t) OVER w) AS after, length(t) // 2 AS half FROM d WINDOW w AS (ORDER BY doc_id)),
+c AS MATERIALIZED (SELECT doc_id, next, t, substr(t, 1, length(t) - half) || substr(after, 1, half) AS edited FROM n),
+k AS (SELECT t, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS a FROM (SELECT t FROM c UNION SELECT edited FROM c)),
+s AS (SELECT t, array_to_string(a[i:i + {size - 1}], ' ') AS term FROM (SELECT t, a, unnest(range(1, greatest(1, len(a) - {size - 1}) + 1)) AS i FROM k WHERE len(a) > 0)),
+q AS (SELECT t, ('0x' || substr(md5(term), 1, 16))::UBIGINT AS h0, ('0x' || substr(md5(term), 17, 16))::UBIGINT AS h1, length(bin(count(*))) AS w FROM s GROUP BY t, term),
+v AS (SELECT t, {bits} FROM q GROUP BY t),
+f AS MATERIALIZED (SELECT k.t, coalesce({digits}, repeat('0', {fingerprints.BITS // 4})) AS fp FROM k LEFT JOIN v USING (t)),
+r AS MATERIALIZED (SELECT c.doc_id, c.next, length(c.t) AS n_chars, sha256(c.edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint FROM c JOIN f a ON a.t = c.t JOIN f b ON b.t = c.edited),
+g AS MATERIALIZED (SELECT fingerprint, count(*) AS n, min(doc_id) AS class_id FROM r GROUP BY fingerprint),
+m AS (SELECT x.fingerprint, x.class_id, (sum(y.n) - 1)::BIGINT AS n_near FROM g x JOIN g y ON {far('x.fingerprint', 'y.fingerprint')} <= {fingerprints.RADIUS} GROUP BY ALL)
+SELECT r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, {like('r.fingerprint', 'r.edited_fingerprint')} AS near_edited, {like('r.fingerprint', 'e.fingerprint')} AS near_next, m.class_id, m.n_near
+FROM r JOIN r e ON e.doc_id = r.next JOIN m ON m.fingerprint = r.fingerprint"""
+
+
+ORACLE["op12_fingerprints"] = _fingerprint_sql()
+
+
+def _cluster_sql(k: int = 16, rounds: int = 3) -> str:
+    out = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS j, e AS c FROM (SELECT e, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, any_value(e) AS e, min(({{'d': d, 'j': j}})) AS m FROM (SELECT vec_id, e, j, list_sum(list_transform(list_zip(e, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i}) GROUP BY vec_id)""")
+        if i < rounds:
+            out.append(f"""u{i} AS (SELECT m.j AS j, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT m, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{i}) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.j, coalesce(l, c) AS c FROM c{i} LEFT JOIN (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS l FROM u{i} GROUP BY j) USING (j))""")
+    return f"""WITH {', '.join(out)} SELECT vec_id, j AS cluster, d AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM (SELECT vec_id, m.j AS j, m.d AS d FROM a{rounds}) JOIN c{rounds} USING (j)"""
+
+
+ORACLE["op13_centroid_clustering"] = _cluster_sql()
