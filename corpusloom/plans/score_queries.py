@@ -11,6 +11,7 @@ from corpusloom.config import DEFAULT
 from corpusloom.functions import stats as S
 from corpusloom.functions import wellformed as W
 from corpusloom.operators import matching as M
+from corpusloom.operators.nearest import nearest_train
 from corpusloom.operators import ml
 from corpusloom.operators import pools as P
 from corpusloom.operators.pools import scoped_hash
@@ -117,12 +118,33 @@ def q_confusion_matrix(spark, d):
     return S.confusion(readers.table(spark, d, "documents").withColumn("guess", guess), "lang", "guess", ["de", "en", "es", "fr"])
 
 
-@query()
-def q_neardup_jaccard(spark, d):
-    """Nearest train neighbour of test turns by 4-gram Jaccard of whole texts, per role; SQL is too slow on them, so a test on a small table takes its place."""
+_TEST = "substr(md5('42|near|' || conv_id || '|' || turn), 1, 1) < '3'"
+_NEAR_SQL = rf"""t AS MATERIALIZED (SELECT conv_id * 1000 + turn AS id, role AS source, regexp_replace(text, '\s\s+', ' ', 'g') AS x, {_TEST} AS test FROM conversations),
+u AS MATERIALIZED (SELECT id, source, test, unnest(list_distinct(list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4)))) AS gram FROM t),
+n AS (SELECT id, count(*) AS n FROM u GROUP BY id),
+p AS (SELECT a.id, b.id AS other, count(*) AS k FROM u a JOIN u b ON a.gram = b.gram AND a.source = b.source WHERE a.test AND NOT b.test GROUP BY a.id, b.id),
+j AS (SELECT p.id, max(k / (a.n + b.n - k)) AS j FROM p JOIN n a ON a.id = p.id JOIN n b ON b.id = p.other GROUP BY p.id),
+near AS (SELECT t.id, t.source, coalesce(j, 0) AS jaccard FROM t LEFT JOIN j USING (id) WHERE test)"""
+
+
+def _turns(spark, d):
+    """Turns as rows, a part of them as test rows."""
     test = F.substring(scoped_hash("near", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 1, 1) < "3"
-    rows = readers.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("source"), F.col("text").alias("command"), test.alias("test"))
-    best = M.nearest_train(rows.where("test"), rows.where("not test"))
+    return readers.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("source"), F.col("text").alias("command"), test.alias("test"))
+
+
+@query(f"WITH {_NEAR_SQL} SELECT id, source, round(jaccard, 9) AS jaccard FROM near")
+def q_nearest_train(spark, d):
+    """Nearest train neighbour of every test turn by 4-gram Jaccard of whole texts, within its role."""
+    rows = _turns(spark, d)
+    return nearest_train(rows.where("test"), rows.where("not test")).select("id", "source", F.round("jaccard", 9).alias("jaccard"))
+
+
+@query(f"WITH {_NEAR_SQL} SELECT source, count(*) AS n, round(median(jaccard), 6) AS median, round(quantile_cont(jaccard, 0.9), 6) AS p90, round(max(jaccard), 6) AS worst, count(*) FILTER (WHERE jaccard >= 0.9) AS strict, count(*) FILTER (WHERE jaccard >= 0.8) AS loose FROM near GROUP BY source")
+def q_neardup_jaccard(spark, d):
+    """Per role how near test turns come to train turns."""
+    rows = _turns(spark, d)
+    best = nearest_train(rows.where("test"), rows.where("not test"))
     j = F.col("jaccard")
     return best.groupBy("source").agg(F.count("*").alias("n"), F.round(F.percentile(j, F.lit(0.5)), 6).alias("median"), F.round(F.percentile(j, F.lit(0.9)), 6).alias("p90"), F.round(F.max(j), 6).alias("worst"), F.count_if(j >= DEFAULT.neardup_strict).alias("strict"), F.count_if(j >= DEFAULT.neardup_loose).alias("loose"))
 
@@ -153,18 +175,40 @@ def q_roundtrip_guard(spark, d):
     return readers.table(spark, d, "documents").agg(F.count("*").alias("n"), F.count_distinct("text").alias("n_distinct"), F.count_if(F.trim("text") == "").alias("n_blank"))
 
 
-@query()
+_MATCH_SQL = f"""{B.SCORED_SQL}, q AS MATERIALIZED (SELECT dataset, label, doc_id AS id, length(text) AS n FROM scored),
+att AS (SELECT dataset, id, n, row_number() OVER (PARTITION BY dataset ORDER BY n DESC, id) AS k FROM q WHERE label = 1),
+st AS (SELECT dataset, 0::BIGINT AS k, 0::BIGINT AS bias, list({{'id': id, 'n': n}}) FILTER (WHERE label = 0) AS pool, NULL::BIGINT AS attack, NULL::BIGINT AS normal, NULL::BIGINT AS length_a, NULL::BIGINT AS length_b FROM q GROUP BY dataset
+ UNION ALL SELECT dataset, k + 1, bias + coalesce(p['n'] - l, 0), CASE WHEN p IS NULL THEN pool ELSE list_filter(pool, lambda y: y['id'] <> p['id']) END, a, p['id'], l, p['n'] FROM
+ (SELECT st.dataset, st.k, bias, pool, att.id AS a, att.n AS l, list_sort(list_transform(list_filter(pool, lambda y: abs(y['n'] - att.n) <= greatest(5, round_even(0.1 * att.n, 0))), lambda y: {{'d': abs(y['n'] - att.n), 's': CASE WHEN bias < 0 THEN att.n - y['n'] ELSE y['n'] - att.n END, 'id': y['id'], 'n': y['n']}}))[1] AS p
+  FROM st JOIN att ON att.dataset = st.dataset AND att.k = st.k + 1)),
+pairs AS (SELECT dataset, attack, normal, length_a, length_b FROM st WHERE normal IS NOT NULL)"""
+_RECORD_SQL = f"""WITH RECURSIVE {_MATCH_SQL}, b AS (SELECT dataset, count(*) FILTER (WHERE label = 1) AS n_malicious, count(*) FILTER (WHERE label = 0) AS n_benign_pool, median(n) FILTER (WHERE label = 1) AS median_len_mal_before, median(n) FILTER (WHERE label = 0) AS median_len_ben_before FROM q GROUP BY dataset),
+f AS (SELECT dataset, count(*) AS n_matched, median(length_a) AS median_len_mal_after, median(length_b) AS median_len_ben_after, avg(length_a) AS mean_len_mal_after, avg(length_b) AS mean_len_ben_after, median(abs(length_a - length_b)) AS median_abs_pair_diff, max(abs(length_a - length_b))::DOUBLE AS max_abs_pair_diff FROM pairs GROUP BY dataset)
+SELECT *, n_matched / n_malicious AS coverage, 'max(5 chars, 10% of length)' AS tolerance, abs(median_len_mal_after - median_len_ben_after) <= greatest(5, 0.1 * greatest(median_len_mal_after, median_len_ben_after)) AS medians_matched, n_matched / n_malicious < 0.5 AS warning FROM b JOIN f USING (dataset)"""
+_MATCHED = ["n_malicious", "n_matched", "n_benign_pool", "coverage", "tolerance", "median_len_mal_before", "median_len_ben_before", "median_len_mal_after", "median_len_ben_after", "mean_len_mal_after", "mean_len_ben_after", "median_abs_pair_diff", "max_abs_pair_diff", "medians_matched", "warning"]
+
+
+def _lengths(spark, d):
+    return B.scored_documents(spark, d).select("dataset", "label", F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n"))
+
+
+@query(f"WITH RECURSIVE {_MATCH_SQL} SELECT * FROM pairs")
 def q_length_match(spark, d):
-    """Labelled documents matched one to one by length; properties are unit tests."""
-    rows = B.scored_documents(spark, d).select("dataset", "label", F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n"))
-    return M.length_match(rows, ["dataset"])
+    """Labelled documents matched one to one by length."""
+    return M.length_match(_lengths(spark, d), ["dataset"])
+
+
+@query(_RECORD_SQL)
+def q_length_record(spark, d):
+    """What that match covers, per dataset."""
+    rows = stored(_lengths(spark, d), "lengths")
+    return M.length_record(rows, M.length_match(rows, ["dataset"]), ["dataset"]).select("dataset", *_MATCHED)
 
 
 @query()
 def q_difflib_share(spark, d):
-    """Test rows with a near copy in train by sequence-matcher ratio, per role."""
-    test = F.substring(scoped_hash("near", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 1, 1) < "3"
-    rows = readers.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("source"), F.col("text").alias("command"), test.alias("test"))
+    """Test turns with a near copy in train by sequence-matcher ratio, per role."""
+    rows = _turns(spark, d)
     t = M.difflib_share(rows.where("test"), rows.where("not test"))
     lo, hi = S.wilson(F.col("k"), F.col("n"))
     return t.withColumns({"lo": lo, "hi": hi})
@@ -321,7 +365,7 @@ def q_probe_summary(spark, d):
     split = split_rows(spark, d)
     over = split.groupBy("label", "shape", "dataset").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).cast("double").alias("value")).select(F.lit("straddle").alias("probe"), "value")
     rows = split.withColumn("id", F.xxhash64("command"))
-    near = M.nearest_train(rows.where("split = 'test'"), rows.where("split = 'train'"))
+    near = nearest_train(rows.where("split = 'test'"), rows.where("split = 'train'"))
     near = near.groupBy("source").agg(F.avg((F.col("jaccard") >= DEFAULT.neardup_strict).cast("int")).alias("share")).agg(F.max("share").alias("value")).select(F.lit("near_dup").alias("probe"), "value")
     out = recall.unionByName(least).unionByName(capped).unionByName(over).unionByName(near)
     v, p = F.col("value"), F.col("probe")
