@@ -5,10 +5,12 @@ Every F1 comes with its prevalence p and the do-nothing floor 2p/(1+p).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULT
+from corpusloom.functions.ranks import running
+from corpusloom.session import stored
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -67,14 +69,13 @@ def make_row(df: DataFrame, label: str, score: str | None = None, prediction: st
 
 
 def _by_score(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    return stored(df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")), "by_score")
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve by rank sums, ties by half; null with a single class. One window row per distinct score."""
+    """Area under the ROC curve by rank sums, ties by half; null with a single class. Distinct scores are ranked in ranges."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    t = _by_score(df, label, score, by).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    t = running(_by_score(df, label, score, by), by, F.col(score), [F.col(score)], below=F.col("neg"))
     area = F.sum(F.col("pos").cast("double") * (F.col("below") + F.col("neg") / 2))
     return t.groupBy(*by).agg(ratio(area, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
@@ -82,8 +83,8 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
 def average_precision(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """The step sum of precision over recall (not the trapezoid), with the prevalence as its baseline."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = _by_score(df, label, score, by).withColumns({"tp": F.sum("pos").over(w), "seen": F.sum(F.col("pos") + F.col("neg")).over(w)})
+    t = running(_by_score(df, label, score, by), by, -F.col(score), [F.col(score).desc()], tp=F.col("pos"), seen=F.col("pos") + F.col("neg"))
+    t = t.withColumns({"tp": F.col("tp") + F.col("pos"), "seen": F.col("seen") + F.col("pos") + F.col("neg")})
     total = F.sum("pos").cast("double")
     return t.groupBy(*by).agg(ratio(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), total).alias("pr_auc"), ratio(total, F.sum(F.col("pos") + F.col("neg"))).alias("pr_auc_base"))
 

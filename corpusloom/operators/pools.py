@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULT
+from corpusloom.functions.ranks import hex_place, running
+from corpusloom.session import stored
 
 
 def scoped_hash(site: str, *keys: str | Column, seed: int = DEFAULT.seed) -> Column:
@@ -161,23 +163,41 @@ def fitting(sizes: np.ndarray, goal: int) -> np.ndarray:
     return chosen
 
 
-def group_split(df: DataFrame, shape: str = "shape", train: float = DEFAULT.train_fraction) -> DataFrame:
+#: Groups of a (dataset, label) that one task may deal.
+FEW_GROUPS = 100_000
+
+
+def group_split(df: DataFrame, shape: str = "shape", train: float = DEFAULT.train_fraction, few: int = FEW_GROUPS) -> DataFrame:
     """Adds split: whole shape groups per (dataset, label) go to test, in hashed order, passing over those that would overshoot.
 
-    What passes through one task per (dataset, label) is a number per group, in order.
+    As ``fitting`` does it, over running sums by ranges of the hash: of the groups that still fit, all
+    before the first that overshoots go to test, and those larger than the room left are out.
+    Each such stretch is a round; once no (dataset, label) has more than ``few`` groups
+    left, what passes through one task is a number for each of them.
     """
     import pandas as pd
 
-    groups = df.groupBy("dataset", "label", shape).agg(F.count("*").alias("n")).withColumn("_order", scoped_hash("split", shape))
+    by = ["dataset", "label"]
+    groups = stored(df.groupBy(*by, shape).agg(F.count("*").alias("n")).withColumn("_order", scoped_hash("split", shape)), "groups")
+    # half to even, as round() does
+    room = groups.groupBy(*by).agg(F.bround(F.sum("n") * F.lit(1 - train), 0).cast("long").alias("_room"))
+    taken = groups.limit(0).select(*by, shape)
+    left = stored(groups.join(room, by).where(F.col("n") <= F.col("_room")), "open")
+    while (left.groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0) > few:
+        sums = stored(running(left, by, hex_place("_order"), [F.col("_order"), F.col(shape)], _before=F.col("n")), "sums")
+        fits = F.col("_before") + F.col("n") <= F.col("_room")
+        taken = taken.unionByName(sums.where(fits).select(*by, shape))
+        used = sums.groupBy(*by).agg(F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias("_used"))
+        rest = sums.where(~fits).join(used, by).withColumn("_room", F.col("_room") - F.col("_used")).where(F.col("n") <= F.col("_room"))
+        left = stored(rest.select(*by, shape, "n", "_order", "_room"), "open")
 
     def sides(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_order", shape])
-        sizes = part["n"].to_numpy()
-        test = fitting(sizes, round(int(sizes.sum()) * (1 - train)))
-        return part.assign(split=np.where(test, "test", "train"))[["dataset", "label", shape, "split"]]
+        return part[fitting(part["n"].to_numpy(), int(part["_room"].iloc[0]))][[*by, shape]]
 
-    kind = f"dataset {df.schema['dataset'].dataType.simpleString()}, label {df.schema['label'].dataType.simpleString()}, {shape} string, split string"
-    return df.join(groups.groupBy("dataset", "label").applyInPandas(sides, kind), ["dataset", "label", shape])
+    kind = f"dataset {df.schema['dataset'].dataType.simpleString()}, label {df.schema['label'].dataType.simpleString()}, {shape} string"
+    taken = taken.unionByName(left.groupBy(*by).applyInPandas(sides, kind)).withColumn("_test", F.lit(True))
+    return df.join(taken, [*by, shape], "left").withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def with_ids(df: DataFrame, item: str = "command") -> DataFrame:

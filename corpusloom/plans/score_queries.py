@@ -264,26 +264,30 @@ def q_transfer(spark, d):
 
 @query()
 def q_loso(spark, d):
-    """Recall on every attack source when it is left out of training, per dataset, with what is kept and lost.
+    """Recall on the test rows of every attack source with it in training (k_full) and left out of it (k_out), per dataset.
 
-    A source without which the training side has one class is skipped. Texts are vectorised
-    once per dataset, with the vocabulary of its whole training side; a regression per source.
+    Each model has its own vocabulary. A source without which training has one class is a row
+    that says why it was skipped.
     """
     rows = _sides(spark, d)
     counts = rows.groupBy("dataset", "source", "label").agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test")).collect()  # a row per source and label
     found = []
-    measure = lambda t: t.agg(F.count_if(F.col("score") > DEFAULT.threshold).alias("k"), F.count("*").alias("n")).first()
+    hits = lambda t: t.agg(F.count_if(F.col("score") > DEFAULT.threshold).alias("k")).first()["k"]
     for k in (1, 2):
         own = [r for r in counts if r["dataset"] == k]
-        held = sorted(r["source"] for r in own if r["label"] == 1 and r["test"])
-        names = [s for s in held if len({r["label"] for r in own if r["source"] != s and r["train"]}) == 2]
-        part = rows.where(F.col("dataset") == k)
-        got = ml.Baseline().fit_without(part.where("split = 'train'"), part.where("split = 'test' and label = 1"), "source", names, FITS, measure) if names else []
-        found += [(k, s, r["k"], r["n"]) for s, r in zip(names, got, strict=True)]
-    t = spark.createDataFrame(found, "dataset int, source string, k long, n long")
-    lo, hi = S.wilson(F.col("k"), F.col("n"))
-    rate = F.col("k") / F.col("n")
-    return t.withColumns({"lo": lo, "hi": hi, "fate": F.when(rate >= 0.9, "kept").when(rate < 0.5, "lost").otherwise("weakened")})
+        held = {r["source"]: r["test"] for r in own if r["label"] == 1 and r["test"]}
+        removed = {s: sum(r["train"] for r in own if r["source"] == s) for s in held}
+        names = sorted(s for s in held if len({r["label"] for r in own if r["source"] != s and r["train"]}) == 2)
+        train, test = rows.where((F.col("dataset") == k) & (F.col("split") == "train")), rows.where((F.col("dataset") == k) & (F.col("split") == "test") & (F.col("label") == 1))
+        if names:
+            full = {r["source"]: r["k"] for r in _fitted(train)(test).groupBy("source").agg(F.count_if(F.col("score") > DEFAULT.threshold).alias("k")).collect()}
+            out = ml.Baseline().fit_without(train, test, "source", names, FITS, hits)
+        found += [(k, s, held[s], full[s], out[s], removed[s], None) if s in names else (k, s, held[s], None, None, removed[s], "removing it leaves train single-class") for s in sorted(held)]
+    t = spark.createDataFrame(found, "dataset int, source string, n long, k_full long, k_out long, train_rows_removed long, skipped string")
+    (lo_full, hi_full), (lo_out, hi_out) = (S.wilson(F.col(c), F.col("n")) for c in ("k_full", "k_out"))
+    rate = F.col("k_out") / F.col("n")
+    fate = F.when(rate.isNotNull(), F.when(rate >= 0.9, "kept").when(rate < 0.5, "lost").otherwise("weakened"))
+    return t.withColumns({"lo_full": lo_full, "hi_full": hi_full, "lo_out": lo_out, "hi_out": hi_out, "fate": fate})
 
 
 @query()
