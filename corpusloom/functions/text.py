@@ -19,6 +19,7 @@ ASCII_QUOTES = "''\"\"''"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 URL_HOST = r"(?:https?|ftp)://[^/\s'\"]+"
+PROMPTS = (r"^\s*[\w.\-]+@[\w.\-]+:\S*\s*[#$]\s+", r"^\s*\$\s+", r"^\s*>\s+")
 HASHED_HOST = r"\bh[0-9a-f]{8}\.example\.net\b"
 
 #: Cuts a session into quoted strings, separators and the rest; an open quote takes all that follows.
@@ -96,8 +97,8 @@ def unescape_html(text: Column) -> Column:
 
 def strip_prompt(text: Column) -> Column:
     """A leading ``user@host:path$``, ``$`` or ``>`` prompt, with the blanks before and after it."""
-    for prompt in (r"(?U)^\s*[\w.-]+@[\w.-]+:\S*?\s*[#$]\s+", r"(?U)^\s*\$\s+", r"(?U)^\s*>\s+"):
-        text = F.regexp_replace(text, prompt, "")
+    for prompt in PROMPTS:
+        text = F.regexp_replace(text, "(?U)" + prompt, "")
     return text
 
 
@@ -137,20 +138,39 @@ def strip_fence(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*```[\w-]*\s*\n?", ""), r"\n?\s*```\s*$", ""))
 
 
+#: Lines folded at once: a fold copies what it has gathered with every line.
+FOLDED = 64
+
+
 def join_continuations(text: Column, pairs: bool = True) -> Column:
     """Lines that end in a backslash (blanks may follow it) joined with the next by one space.
 
-    With ``pairs`` only an odd number of backslashes counts. A last line that ends in one
-    loses it, and a joined line the blanks at its cut.
+    With ``pairs`` only an odd number of backslashes counts. A joined line loses the blanks
+    around its cuts; a line that holds nothing but its backslash leaves the next as it is,
+    and a last line that ends in one loses it.
     """
     lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\r+$", ""))
-    tail = lambda x: F.regexp_extract(x, r"(?U)(\\+)\s*$", 1)
-    goes_on = lambda x: (F.length(tail(x)) % 2 == 1) if pairs else (tail(x) != "")
-    less = lambda x: F.regexp_replace(x, r"(?U)\s*\\\s*\z", "")
-    # a mark after each line that goes on, a newline after each other; without the last of these, blanks around marks go
-    marked = F.transform(lines, lambda x: F.when(goes_on(x), F.concat(less(x), F.lit(CUT))).otherwise(F.concat(x, F.lit("\n"))))
-    whole = F.array_join(marked, "")
-    return F.regexp_replace(whole.substr(F.lit(1), F.length(whole) - 1), rf"(?U)[^\S\n]*+{CUT}[^\S\n]*+", " ")
+    let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    ends = lambda x: F.regexp_replace(x, r"(?U)\s+$", "")
+    tail = lambda x: F.length(F.regexp_extract(x, r"(\\*)$", 1))
+    more = (lambda x: tail(x) % 2 == 1) if pairs else (lambda x: tail(x) > 0)
+
+    def step(held: Column, x: Column) -> Column:
+        def of(s: Column) -> Column:
+            cut = let(ends(s), lambda e: F.when(more(e), ends(F.left(e, F.length(e) - 1))))
+            return let(cut, lambda c: F.struct(F.coalesce(c, F.lit("")).alias("open"), F.when(c.isNull(), F.concat(held["out"], s, F.lit("\n"))).otherwise(held["out"]).alias("out")))
+
+        return let(F.when(held["open"] != "", F.concat(held["open"], F.lit(" "), F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))).otherwise(x), of)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / FOLDED).cast("int")), lambda b: F.slice(lines, b * FOLDED + 1, FOLDED))
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def block(held: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(held["open"].alias("open"), F.lit("").alias("out")), step)
+        return let(own, lambda o: F.struct(o["open"].alias("open"), F.concat(held["out"], F.array(o["out"])).alias("out")))
+
+    whole = F.aggregate(blocks, start, block, lambda s: F.concat(F.array_join(s["out"], ""), F.when(s["open"] != "", F.concat(s["open"], F.lit("\n"))).otherwise("")))
+    return F.regexp_replace(whole, r"\n\z", "")
 
 
 def substituted(text: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:

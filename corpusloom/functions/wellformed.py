@@ -22,11 +22,11 @@ INNOCUOUS = r"cd(?:\s+[^\s;|&<>$`()]+)?|ls(?:\s+-[A-Za-z]+)*(?:\s+[^\s;|&<>$`()]
 
 RULES = {
     "W1_unterminated_quote": lambda c, raw: unterminated_quote(c),
-    "W2_terminal_control": lambda c, raw: raw.rlike(TERMINAL) | c.rlike(CARET),
-    "W3_spaced_assignment": lambda c, raw: c.rlike(SPACED_ASSIGNMENT),
-    "W4_json_member": lambda c, raw: c.rlike(JSON_MEMBER),
-    "W5_markup_tag": lambda c, raw: c.rlike(MARKUP),
-    "W6_block_colon": lambda c, raw: c.rlike(BLOCK),
+    "W2_terminal_control": lambda c, raw: raw.rlike(TERMINAL) | c.rlike("(?U)" + CARET),
+    "W3_spaced_assignment": lambda c, raw: c.rlike("(?U)" + SPACED_ASSIGNMENT),
+    "W4_json_member": lambda c, raw: c.rlike("(?U)" + JSON_MEMBER),
+    "W5_markup_tag": lambda c, raw: c.rlike("(?U)" + MARKUP),
+    "W6_block_colon": lambda c, raw: c.rlike("(?U)" + BLOCK),
     "W7_no_word_char": lambda c, raw: ~c.rlike(WORD),
     "W8_prompt_phrase": lambda c, raw: c.rlike(PROMPT),
 }
@@ -43,13 +43,13 @@ def well_formed(df: DataFrame, command: str = "command", raw: str = "raw") -> Da
 
 def needs_scrub(command: Column) -> Column:
     """Unambiguous attack forms, for normal rows only."""
-    return command.rlike("(?i)" + SCRUB)
+    return command.rlike("(?iU)" + SCRUB)
 
 
 def has_marker(command: Column) -> Column:
     """The keyword probe; it reports and never gates."""
-    return command.rlike("(?i)" + MARKERS)
+    return command.rlike("(?iU)" + MARKERS)
 
 
 def innocuous_alone(command: Column) -> Column:
-    return command.rlike(rf"(?i)^(?:{INNOCUOUS})\s*\z")
+    return command.rlike(rf"(?iU)^(?:{INNOCUOUS})\s*\z")

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import shape as shapes
+from corpusloom.functions import text as T
 from corpusloom.functions import wellformed as W
 from corpusloom.session import stored
 from corpusloom.sources.readers import lines_of, pooled, table
 
-IP_SQL = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+IP_SQL = T.IPV4
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,8 @@ def replace_each_sql(x: str, pattern: str, change: str) -> str:
 def normalize_sql(raw: str) -> str:
     quoted = "'" + "''''" + '""' + "''''" + "'"
     t = f"translate(regexp_replace(translate({raw}, '‘’“”´′', {quoted}), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', ' ', 'g'), chr(13) || chr(10) || chr(9), '   ')"
-    return f"trim(regexp_replace({replace_each_sql(t, IP_SQL, fake_ip_sql('m'))}, '\\s+', ' ', 'g'))"
+    host = "regexp_extract(m, '^[^:]*://', 0) || 'h' || substr(sha1(lower(regexp_replace(m, '^[^:]*://', ''))), 1, 8) || '.example.net'"
+    return f"trim(regexp_replace({replace_each_sql(replace_each_sql(t, '(?i)' + T.URL_HOST, host), IP_SQL, fake_ip_sql('m'))}, '\\s+', ' ', 'g'))"
 
 
 QUOTED_SQL = "\"[^\"]*\"|''[^'']*''"
@@ -77,7 +79,14 @@ CORE_SQL = f"regexp_replace(regexp_replace(regexp_replace(command, '{QUOTED_SQL}
 
 
 def _rule_sql(column: str, pattern: str) -> str:
-    return f"regexp_matches({column}, '{pattern.replace(chr(39), chr(39) * 2)}')".replace(r"\z", "$")
+    return f"regexp_matches({column}, '{wide_sql(pattern)}')"
+
+
+def wide_sql(pattern: str) -> str:
+    """A rule's pattern in a dialect whose classes know ASCII alone: letters, digits and blanks of all scripts spelt out."""
+    for a, b in (("'", "''"), (r"\b[^;]*:\z", r"(?:[^;\p{L}\p{N}_][^;]*)?:\z"), (r"\w", r"[\p{L}\p{N}_]"), (r"\s", r"[\s\p{Z}]"), (r"\z", "$")):
+        pattern = pattern.replace(a, b)
+    return pattern
 
 
 UNTERMINATED_SQL = f"regexp_matches(regexp_replace(command, '{QUOTED_SQL}', '', 'g'), '[''\"]')"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import shape as shapes
 from corpusloom.functions import text as T
+from corpusloom.functions import wellformed as W
 from corpusloom.plans import base as B
 from corpusloom.plans.catalog import query
 from corpusloom.sources import parsers, readers
@@ -27,14 +28,17 @@ def q_shape_tokens(spark, d):
     return docs.select("doc_id", shapes.shape(odd).alias("shape"))
 
 
-_MARKED = "(SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  me@box.x:~/a$ ' WHEN 1 THEN ' $ ' WHEN 2 THEN '> ' WHEN 3 THEN '$x ' ELSE '' END || text AS t FROM documents)"
+_MARKED = "(SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '  me@box.x:~/a$ ' WHEN 1 THEN ' $ ' WHEN 2 THEN '> ' WHEN 3 THEN '$x ' WHEN 4 THEN 'me@box:~$ # ' WHEN 5 THEN 'me@box:/a b $ c# ' ELSE '' END || text AS t FROM documents)"
+_PROMPT_SQL = "t"
+for _p in T.PROMPTS:
+    _PROMPT_SQL = f"regexp_replace({_PROMPT_SQL}, '{_p}', '')"
 
 
-@query(rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '^\s*[\w.-]+@[\w.-]+:\S*?\s*[#$]\s+', ''), '^\s*\$\s+', ''), '^\s*>\s+', '')) AS digest FROM {_MARKED}")
+@query(f"SELECT doc_id, md5({_PROMPT_SQL}) AS digest FROM {_MARKED}")
 def q_strip_prompt(spark, d):
-    """Documents behind prompts of several kinds."""
-    i = F.col("doc_id") % 5
-    mark = F.when(i == 0, "  me@box.x:~/a$ ").when(i == 1, " $ ").when(i == 2, "> ").when(i == 3, "$x ").otherwise("")
+    """Documents behind prompts of several kinds, one in another."""
+    i = F.col("doc_id") % 7
+    mark = F.when(i == 0, "  me@box.x:~/a$ ").when(i == 1, " $ ").when(i == 2, "> ").when(i == 3, "$x ").when(i == 4, "me@box:~$ # ").when(i == 5, "me@box:/a b $ c# ").otherwise("")
     return readers.table(spark, d, "documents").select("doc_id", F.md5(T.strip_prompt(F.concat(mark, "text"))).alias("digest"))
 
 
@@ -49,17 +53,21 @@ def q_strip_comment(spark, d):
     return readers.table(spark, d, "documents").select("doc_id", F.md5(T.strip_comment(c)).alias("digest"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(replace(text, ',', chr(92) || chr(10)), chr(10))) AS x, generate_subscripts(string_split(replace(text, ',', chr(92) || chr(10)), chr(10)), 1) AS i FROM documents),
-g AS (SELECT *, length(regexp_extract(x, '(\\*)\s*$', 1)) % 2 = 1 AS more FROM l),
-s AS (SELECT *, coalesce(sum((NOT more)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line, coalesce(lag(more) OVER (PARTITION BY doc_id ORDER BY i), false) AS joined FROM g),
-y AS (SELECT *, CASE WHEN more THEN regexp_replace(x, '\s*\\\s*$', '') ELSE x END AS y FROM s),
-p AS (SELECT doc_id, line, string_agg(CASE WHEN joined THEN ' ' || ltrim(y) ELSE y END, '' ORDER BY i) AS x FROM y GROUP BY ALL)
-SELECT doc_id, count(*) AS n, max(length(x)) AS longest FROM p GROUP BY doc_id""")
+_CUT_SQL = "replace(replace(text, ',', chr(92) || chr(10)), '.', chr(10) || chr(92) || chr(10))"
+
+
+@query(rf"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split({_CUT_SQL}, chr(10)) AS a FROM documents)),
+f AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, '' AS held, NULL::VARCHAR AS line FROM l
+ UNION ALL SELECT doc_id, i + 1, CASE WHEN more THEN regexp_replace(substr(e, 1, length(e) - 1), '\s+$', '') ELSE '' END, CASE WHEN NOT more THEN s END FROM
+ (SELECT *, length(regexp_extract(e, '(\\*)$', 1)) % 2 = 1 AS more FROM (SELECT *, regexp_replace(s, '\s+$', '') AS e FROM
+ (SELECT f.doc_id, f.i, CASE WHEN f.held <> '' THEN f.held || ' ' || regexp_replace(l.x, '^\s+|\s+$', '', 'g') ELSE l.x END AS s FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)))),
+a AS (SELECT doc_id, line, i FROM f WHERE line IS NOT NULL UNION ALL SELECT doc_id, arg_max(held, i), max(i) + 1 FROM f GROUP BY doc_id HAVING arg_max(held, i) <> '')
+SELECT doc_id, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM a GROUP BY doc_id""")
 def q_continuations(spark, d):
-    """Documents whose commas became backslashes at line ends, joined again."""
-    text = F.replace("text", F.lit(","), F.lit("\\\n"))
-    lines = F.split(T.join_continuations(text), "\n")
-    return readers.table(spark, d, "documents").select("doc_id", F.size(lines).cast("long").alias("n"), F.array_max(F.transform(lines, F.length)).cast("long").alias("longest"))
+    """Documents whose commas became backslashes at line ends, and full stops lines of a backslash alone, joined again."""
+    text = F.replace(F.replace("text", F.lit(","), F.lit("\\\n")), F.lit("."), F.lit("\n\\\n"))
+    joined = readers.table(spark, d, "documents").select("doc_id", T.join_continuations(text).alias("t"))
+    return joined.select("doc_id", F.size(F.split("t", "\n")).cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
 _RULES = [("[0-9]+", "N"), (r"\bthe\b", "THE"), ("N N", "NN")]
@@ -74,15 +82,43 @@ def q_substitutions(spark, d):
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"), F.sum(F.length("t")).cast("long").alias("chars"))
 
 
-@query("SELECT page_id, 'bash' AS lang, len(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10))) AS n_lines FROM pages")
+@query("SELECT page_id, 'bash' AS lang, len(string_split(t, chr(10))) AS n_lines, md5(t) AS digest FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS t FROM pages)")
 def q_fences(spark, d):
     """Fenced blocks of pages, read from a Markdown rendering of their paragraphs."""
     pages = readers.table(spark, d, "pages").select("page_id", F.concat(F.lit("intro\n```bash\n"), F.regexp_replace("html", "<[^>]*>", "\n"), F.lit("\n```\n")).alias("text"))
-    return parsers.blocks(pages, "page_id").groupBy("page_id", "lang").agg(F.count("*").alias("n_lines"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    return parsers.blocks(pages, "page_id").groupBy("page_id", "lang").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(lines, "\n")).alias("digest"))
 
 
-@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT doc_id, 3 AS n_commands, greatest(13, 16 + sum(length(trim(x, chr(32) || chr(9) || chr(13))) + 1))::BIGINT AS longest FROM l GROUP BY doc_id")
+@query(r"""WITH l AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+b AS (SELECT doc_id, 'cat <<-''END'' ' || string_agg(regexp_replace(x, '^\s+|\s+$', '', 'g'), ' ' ORDER BY i) || ' END' AS c FROM l GROUP BY doc_id)
+SELECT doc_id, 3 AS n_commands, md5('grep x <<<END' || chr(10) || c || chr(10) || 'ls') AS digest FROM b""".replace("\\", chr(92)))
 def q_heredoc(spark, d):
     """Documents behind a here-document opener, one command each when bodies are merged; a here-string has no body."""
     docs = readers.table(spark, d, "documents").select("doc_id", F.concat(F.lit("grep x <<<END\ncat <<-'END'\n"), "text", F.lit("\n\t END \nls")).alias("text"))
-    return parsers.merged_heredocs(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_commands"), F.max(F.length("command")).cast("long").alias("longest"))
+    commands = F.transform(F.sort_array(F.collect_list(F.struct("pos", "command"))), lambda x: x["command"])
+    return parsers.merged_heredocs(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_commands"), F.md5(F.array_join(commands, "\n")).alias("digest"))
+
+
+_URLED = "'get ' || url || ' http://10.0.' || page_id % 256 || '.7:80/x ftp://u@10.1.2.3/ HTTPS://Www.X.org 10.1.2.3'"
+
+
+@query(f"SELECT page_id, {B.normalize_sql('(' + _URLED + ')')} AS command FROM pages")
+def q_normalize_urls(spark, d):
+    """Addresses inside urls and beside them: hosts are hashed first."""
+    raw = F.concat(F.lit("get "), F.col("url"), F.lit(" http://10.0."), (F.col("page_id") % 256).cast("string"), F.lit(".7:80/x ftp://u@10.1.2.3/ HTTPS://Www.X.org 10.1.2.3"))
+    return readers.table(spark, d, "pages").select("page_id", T.normalize(raw).alias("command"))
+
+
+_WIDE = ["é\u00a0= x", "classé a:", "class\u00a0a:", "<a\u00a0b='c'>", "\"k\"\u00a0: 1", "@été x:", "with é; y:", "Über uns:"]
+_BROKEN = ", ".join(f"({x})::INT" for x in B.RULES_SQL.values())
+
+
+@query(f"""WITH c AS (SELECT doc_id, {'[' + ', '.join(chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in _WIDE) + ']'}[doc_id % {len(_WIDE)} + 1] AS command FROM documents), r AS (SELECT doc_id, command, command AS raw FROM c)
+SELECT doc_id, array_to_string([{_BROKEN}], '') AS broken FROM r""")
+def q_wf_wide(spark, d):
+    """The rules over lines with a no-break space and letters beyond ASCII."""
+    line = F.element_at(F.array(*map(F.lit, _WIDE)), (F.col("doc_id") % len(_WIDE) + 1).cast("int"))
+    rows = readers.table(spark, d, "documents").select("doc_id", line.alias("command"), line.alias("raw"))
+    flags = F.array(*[F.array_contains("violations", name).cast("int").cast("string") for name in W.RULES])
+    return W.well_formed(rows).select("doc_id", F.array_join(flags, "").alias("broken"))
