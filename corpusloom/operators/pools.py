@@ -123,14 +123,18 @@ def balanced(df: DataFrame, shape: str = "shape", item: str = "command", share:
     """Per dataset all attacks, and normal rows up to ``ratio`` times as many, apportioned over sources and dealt over shapes.
 
     Quotas are a row per (dataset, source). Rows are counted per round of a source first, so
-    that only the round in which its quota ends has to be ranked.
+    that only the round in which its quota ends has to be ranked. What is chosen must be what
+    is wanted, and no row twice; else the plan fails as it runs.
     """
     counts = df.groupBy("dataset", "source").agg(F.count_if(F.col("label") == 1).alias("_attacks"), F.count_if(F.col("label") == 0).alias("_normal"))
     want = F.least(F.sum("_normal").over(Window.partitionBy("dataset")), ratio * F.sum("_attacks").over(Window.partitionBy("dataset")))
     quota = allocated(counts.withColumn("_wanted", want), ["dataset"], "source", "_wanted", "_normal", share).select("dataset", "source", F.col("take").alias("_quota"))
     dealt = deal(df.where("label = 0"), ["dataset", "source"], shape, item, "balance")
-    normal = cut_rounds(dealt, quota, ["dataset", "source"], shape, "balance").select(*df.columns)
-    return df.where("label = 1").unionByName(normal)
+    normal = stored(cut_rounds(dealt, quota, ["dataset", "source"], shape, "balance").select(*df.columns), "normal")
+    got = normal.groupBy(F.col("dataset").alias("_d"), F.col("source").alias("_s")).agg(F.count("*").alias("_got"))
+    wanted = quota.join(got, F.col("dataset").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("_got", F.coalesce("_got", F.lit(0)))
+    twice = normal.groupBy("dataset", item).agg(F.count("*").alias("_k"))
+    return guarded(df.where("label = 1").unionByName(normal), (wanted, F.col("_got") != F.col("_quota"), _named("not as many rows as wanted:", "dataset", "source", "_got", "_quota")), (twice, F.col("_k") > 1, _named("chosen twice:", item)))
 
 
 def cut_rounds(dealt: DataFrame, quota: DataFrame, by: list[str], key: str, site: str) -> DataFrame:
@@ -211,10 +215,26 @@ def with_ids(df: DataFrame, item: str = "command") -> DataFrame:
     return out.drop("_h", "_b", "_base")
 
 
+def guarded(df: DataFrame, *broken: tuple[DataFrame, Column, Column]) -> DataFrame:
+    """``df``, failing while it is computed or written if one of ``broken`` has a row.
+
+    Each is a frame, when a row of it breaks an invariant, and what to say then. They are
+    branches of the plan that give no rows, so no job runs ahead of the one that needs ``df``.
+    """
+    out = df
+    for frame, bad, message in broken:
+        stop = F.when(bad, F.raise_error(message).cast("boolean")).otherwise(False)
+        out = out.unionByName(frame.where(stop).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]))
+    return out
+
+
+def _named(text: str, *columns: str) -> Column:
+    return F.concat_ws(" ", F.lit(text), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
+
+
 def checked(df: DataFrame) -> DataFrame:
     """``df``, failing at run time where a build invariant is broken: a command in two datasets, or a shape of two labels in one."""
-    bad = df.groupBy("command").agg(F.count_distinct("dataset").alias("k")).where("k > 1").limit(1).count()
-    mixed = df.groupBy("dataset", "shape").agg(F.count_distinct("label").alias("k")).where("k > 1").limit(1).count()
-    if bad or mixed:
-        raise ValueError("a command is in both datasets" if bad else "a shape has two labels within a dataset")
-    return df
+    both = df.groupBy("command").agg(F.min("dataset").alias("lo"), F.max("dataset").alias("hi"))
+    mixed = df.groupBy("dataset", "shape").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    differ = F.col("lo") != F.col("hi")
+    return guarded(df, (both, differ, _named("a command is in both datasets:", "command")), (mixed, differ, _named("a shape has two labels:", "shape")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULT
 from corpusloom.functions import stats as S
+from corpusloom.functions import text as T
 from corpusloom.functions import wellformed as W
 from corpusloom.operators import matching as M
 from corpusloom.operators.nearest import nearest_train
@@ -17,7 +18,7 @@ from corpusloom.operators import pools as P
 from corpusloom.operators.pools import scoped_hash
 from corpusloom.plans import base as B
 from corpusloom.plans.catalog import query
-from corpusloom.plans.pool_queries import split_rows
+from corpusloom.plans.pool_queries import _CONFLICT_SQL, _MARKERS_SQL, _SCRUB_SQL, split_rows
 from corpusloom.session import stored
 from corpusloom.sources import readers
 
@@ -303,16 +304,61 @@ def q_source_separability(spark, d):
     return m.withColumn("verdict", F.when((raw > 0.90) | (norm > 0.85), "FAIL").when((raw > 0.75) | (norm > 0.75), "INFO").otherwise("PASS"))
 
 
-@query()
+_CONFLICT_COUNTS = f"""WITH {_CONFLICT_SQL}, f AS (SELECT dataset, count(*) FILTER (WHERE label = 0 AND regexp_matches(command, '{_SCRUB_SQL}')) AS n, count(*) FILTER (WHERE label = 0) AS k FROM labelled GROUP BY dataset)
+SELECT dataset, 'exact' AS kind, exact AS n FROM report UNION ALL SELECT dataset, 'shape', rows_hit FROM report UNION ALL SELECT dataset, 'scrub', n FROM f WHERE k > 0"""
+
+
+@query(_CONFLICT_COUNTS)
 def q_pool_conflict_routes(spark, d):
-    """Label noise by its three routes: exact conflicts, shape conflicts, and normal rows that look like attacks."""
+    """Rows that a build would drop over their label, by the way they are found: the text, its shape, or an attack's form on a normal row."""
     rows = stored(B.labelled(spark, d), "labelled")
     report, _ = P.shape_conflicts(rows)
     scrub = rows.where("label = 0").groupBy("dataset").agg(F.count_if(W.needs_scrub(F.col("command"))).alias("n"))
-    named = lambda df, name, c: df.select("dataset", F.lit(name).alias("route"), F.col(c).alias("n"))
+    named = lambda df, kind, c: df.select("dataset", F.lit(kind).alias("kind"), F.col(c).alias("n"))
     return named(report, "exact", "exact").unionByName(named(report, "shape", "rows_hit")).unionByName(named(scrub, "scrub", "n"))
 
 
+# documents as sessions, annotated by their labels
+_SESSION_SQL = f"""ses AS (SELECT d.doc_id, d.text, CASE WHEN l.toxic = 1 THEN ['Execution'] WHEN l.quality = 1 THEN ['Harmless'] WHEN l.quality = 0 THEN ['Harmless', 'Discovery'] END AS fp FROM documents d LEFT JOIN labels l USING (doc_id)),
+tok AS (SELECT doc_id, fp, list_transform(regexp_extract_all(text, '{T.SESSION_TOKEN.replace("'", "''")}'), lambda x: CASE WHEN x IN (';', chr(10), '&&', '||') THEN chr(57344) ELSE x END) AS a FROM ses),
+cut AS (SELECT doc_id, fp, list_filter(list_transform(string_split(array_to_string(a, ''), chr(57344)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS a FROM tok),
+ato AS (SELECT doc_id, coalesce(fp = ['Harmless'], false) AS harmless, unnest(a) AS raw, generate_subscripts(a, 1) AS pos FROM cut), nor AS MATERIALIZED (SELECT *, {B.normalize_sql('raw')} AS command FROM ato),
+com AS (SELECT command, arg_min(raw, (doc_id, pos)) AS raw, bool_and(harmless) AS harmless FROM nor WHERE {B.USABLE_SQL} GROUP BY command),
+rep AS MATERIALIZED (SELECT *, {B._NO_RULE} AS fine FROM com)"""
+
+
+def _sessions(spark, d):
+    labels = readers.table(spark, d, "labels").select("doc_id", "quality", "toxic")
+    fp = F.when(F.col("toxic") == 1, F.array(F.lit("Execution"))).when(F.col("quality") == 1, F.array(F.lit("Harmless"))).when(F.col("quality") == 0, F.array(F.lit("Harmless"), F.lit("Discovery")))
+    return readers.table(spark, d, "documents").join(labels, "doc_id", "left").select("doc_id", F.col("text").alias("full_session"), fp.alias("Set_Fingerprint"))
+
+
+@query(f"""WITH {_SESSION_SQL} SELECT (SELECT count(*) FROM documents) AS sessions, count(*) AS distinct_atoms, count(*) FILTER (WHERE NOT fine) AS well_formed_dropped, count(*) FILTER (WHERE fine) AS after_well_formed,
+count(*) FILTER (WHERE fine AND harmless) AS harmless_only_dropped, count(*) FILTER (WHERE fine AND NOT harmless) AS after_harmless_drop, count(*) FILTER (WHERE fine AND NOT harmless AND regexp_matches(command, '{_MARKERS_SQL}')) AS marker_probe_pool_coverage FROM rep""")
+def q_session_pool(spark, d):
+    """What becomes of the commands of sessions: documents, annotated by their labels."""
+    return readers.session_pool(_sessions(spark, d), ["doc_id"])[1]
+
+
+@query(f"""WITH {B.LABELLED_SQL}, {_SESSION_SQL},
+one AS (SELECT count(*) FILTER (WHERE fine AND harmless) AS hits, count(*) FILTER (WHERE fine) AS n FROM rep),
+two AS (SELECT sum(length(text)) FILTER (WHERE role = 'system')::BIGINT AS hits, sum(length(text))::BIGINT AS n FROM conversations),
+three AS (SELECT count(*) FILTER (WHERE regexp_matches(command, '(?i)^(?:{W.INNOCUOUS.replace("'", "''")})\\s*$')) AS hits, count(*) AS n FROM labelled WHERE dataset = 2 AND label = 1),
+u AS (SELECT 'route1_set_fingerprint' AS route, * FROM one UNION ALL SELECT 'route2_annotations', * FROM two UNION ALL SELECT 'route3_innocuous_in_isolation', * FROM three)
+SELECT route, coalesce(hits, 0) AS hits, n, round(coalesce(hits, 0) / greatest(n, 1), 5) AS share FROM u""")
+def q_label_noise(spark, d):
+    """Label noise by three routes that look at different things: commands seen in harmless sessions alone, statements
+    annotated as harmless (turns, by their length, with the system's as harmless), and malicious rows innocuous by themselves."""
+    _, report = readers.session_pool(_sessions(spark, d), ["doc_id"])
+    one = report.select(F.lit("route1_set_fingerprint").alias("route"), F.col("harmless_only_dropped").alias("hits"), F.col("after_well_formed").alias("n"))
+    tactic = F.when(F.col("role") == "system", "Harmless").otherwise("Other")
+    runs = readers.table(spark, d, "conversations").select(F.concat(tactic, F.lit(" - "), F.length("text").cast("string")).alias("labels"))
+    two = readers.harmless_rate(readers.run_lengths(runs)).select(F.lit("route2_annotations").alias("route"), F.col("harmless").alias("hits"), F.col("statements").alias("n"))
+    rows = B.labelled(spark, d).where("dataset = 2 and label = 1")
+    three = rows.agg(F.lit("route3_innocuous_in_isolation").alias("route"), F.count_if(W.innocuous_alone(F.col("command"))).alias("hits"), F.count("*").alias("n"))
+    return one.unionByName(two).unionByName(three).withColumn("share", F.round(F.col("hits") / F.greatest("n", F.lit(1)), 5))
+
+
 @query()
 def q_pairwise_separability(spark, d):
     """Fits of every pair of languages' documents against each other: macro-F1, floor, headroom, and the mean's verdict.

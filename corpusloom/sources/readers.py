@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.text import atoms, normalize, usable
-from corpusloom.functions.wellformed import well_formed
+from corpusloom.functions.wellformed import has_marker, well_formed
 from corpusloom.operators.pools import keep_first
+from corpusloom.session import stored
 
 SPLIT_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("command", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("source", T.StringType()), T.StructField("split", T.StringType())])
 SESSION_SCHEMA = T.StructType([T.StructField("full_session", T.StringType()), T.StructField("Set_Fingerprint", T.ArrayType(T.StringType()))])
@@ -52,17 +53,44 @@ def pooled(raw: DataFrame, by: list[str] | None = None, order: list[str] | None
     return well_formed(keep_first(named, [*by, "command"], order))
 
 
-def sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Session commands (command, raw, fingerprints): two columns are read, atoms grouped by command.
+def required(spark: SparkSession, *paths: str) -> list[str]:
+    """``paths``; an error names the first that is not there. Globs and any file system that Spark reads are fine."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        if not path.getFileSystem(conf).globStatus(path):
+            raise FileNotFoundError(f"missing extract: {name}")
+    return list(paths)
+
+
+def session_atoms(df: DataFrame, order: list[str], text: str = "full_session", fingerprint: str = "Set_Fingerprint") -> DataFrame:
+    """(command, raw, violations, harmless_only) of the usable commands of sessions.
 
-    Commands whose only fingerprint is exactly ("Harmless",) are marked, as are those
-    with a violation; a missing fingerprint is an empty one.
+    raw is the first in ``order``. A command is harmless_only if every session that has it is
+    annotated as exactly ("Harmless",); a missing annotation is an empty one.
     """
-    df = spark.read.schema(SESSION_SCHEMA).parquet(path).where("full_session is not null")
-    rows = df.select(F.posexplode(atoms(F.col("full_session"))).alias("pos", "raw"), F.coalesce("Set_Fingerprint", F.array().cast("array<string>")).alias("fp"), F.xxhash64("full_session").alias("session"))
+    harmless = F.coalesce(F.col(fingerprint), F.array().cast("array<string>")) == F.array(F.lit("Harmless"))
+    rows = df.where(F.col(text).isNotNull()).select(F.struct(*order).alias("at"), harmless.alias("harmless"), F.posexplode(atoms(F.col(text))).alias("pos", "raw"))
     rows = rows.withColumn("command", normalize(F.col("raw"))).where(usable(F.col("command")))
-    out = rows.groupBy("command").agg(F.collect_set("fp").alias("fingerprints"), F.min_by("raw", F.struct("session", "pos")).alias("raw"))
-    return well_formed(out).withColumn("harmless_only", F.col("fingerprints") == F.array(F.array(F.lit("Harmless"))))
+    return well_formed(rows.groupBy("command").agg(F.min_by("raw", F.struct("at", "pos")).alias("raw"), F.bool_and("harmless").alias("harmless_only")))
+
+
+def sessions(spark: SparkSession, path: str) -> DataFrame:
+    """The commands of a session table; two of its columns are read."""
+    return session_atoms(spark.read.schema(SESSION_SCHEMA).parquet(path), ["full_session"])
+
+
+def session_pool(df: DataFrame, order: list[str], text: str = "full_session", fingerprint: str = "Set_Fingerprint") -> tuple[DataFrame, DataFrame]:
+    """The pool of sessions, without ill-formed and harmless-only commands, and a report of what was dropped in one row.
+
+    The report also counts the pool's commands with a marker of an attack; that never decides on a row.
+    """
+    found = stored(session_atoms(df, order, text, fingerprint), "atoms")
+    fine, harmless = F.size("violations") == 0, F.col("harmless_only")
+    kept = fine & ~harmless
+    counts = {"distinct_atoms": F.count("*"), "well_formed_dropped": F.count_if(~fine), "after_well_formed": F.count_if(fine), "harmless_only_dropped": F.count_if(fine & harmless), "after_harmless_drop": F.count_if(kept), "marker_probe_pool_coverage": F.count_if(kept & has_marker(F.col("command")))}
+    report = df.agg(F.count("*").alias("sessions")).crossJoin(found.agg(*[c.alias(n) for n, c in counts.items()]))  # one row each
+    return found.where(kept).select("command", "raw"), report
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -73,12 +101,19 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_lengths(df: DataFrame, labels: str = "labels") -> DataFrame:
+    """(tactic, n): run lengths summed by tactic."""
     part = df.select(F.explode(F.split(F.coalesce(labels, F.lit("")), "--")).alias("part"))
     pattern = r"^\s*(.*?)\s*-\s*(\d+)\s*$"
     part = part.where(F.col("part").rlike(pattern)).select(F.regexp_extract("part", pattern, 1).alias("tactic"), F.regexp_extract("part", pattern, 2).cast("long").alias("k"))
     return part.groupBy("tactic").agg(F.sum("k").alias("n"))
 
 
+def harmless_rate(tactics: DataFrame) -> DataFrame:
+    """(harmless, statements, harmless_share) of summed tactics (tactic, n): one row."""
+    out = tactics.agg(F.coalesce(F.sum(F.when(F.col("tactic") == "Harmless", F.col("n"))), F.lit(0)).alias("harmless"), F.coalesce(F.sum("n"), F.lit(0)).alias("statements"))
+    return out.withColumn("harmless_share", F.round(F.col("harmless") / F.nullif("statements", F.lit(0)), 4))
+
+
 def split_csv(spark: SparkSession, *paths: str) -> DataFrame:
     """Split files with literal ``nan`` and ``null`` kept as text, ordered by id; fails on blank or repeated commands."""
     reader = spark.read.schema(SPLIT_SCHEMA).option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\u0000").option("multiLine", True)

@@ -11,6 +11,7 @@ from corpusloom.functions import stats as S
 from corpusloom.functions import text as T
 from corpusloom.functions import wellformed as W
 from corpusloom.operators import matching as M
+from corpusloom.operators.nearest import nearest_train
 from corpusloom.operators import pools as P
 from corpusloom.sources import parsers, readers, sinks
 
@@ -203,8 +204,8 @@ def test_conflicts(spark):
     assert (got[1]["pool"], got[1]["exact"], got[1]["rows_hit"], got[1]["shapes_hit"], got[1]["fired"]) == (3, 1, 1, 1, True)
     assert not got[2]["fired"]
     assert sorted(r[0] for r in drop.collect()) == ["a", "b", "c"]
-    with pytest.raises(ValueError):
-        P.checked(df)
+    with pytest.raises(Exception, match="two labels|both datasets"):
+        P.checked(df).collect()
 
 
 def test_matching(spark):
@@ -220,16 +221,16 @@ def test_matching(spark):
     def g(w):
         return {w[i : i + 4] for i in range(len(w) - 3)}
 
-    for r in M.nearest_train(test, train).collect():
+    for r in nearest_train(test, train).collect():
         a = g(words[r["id"]])
         best = max((len(a & g(w)) / len(a | g(w)) for i, w in enumerate(words) if i >= 20 and i % 2 == r["id"] % 2 and a | g(w)), default=0)
         assert r["jaccard"] == pytest.approx(best if a else 0)
     import difflib
 
-    for r in M.difflib_share(test, train, ratio=0.7, per_task=5).collect():
+    for r in M.difflib_share(test, train, ratio=0.7).collect():
         own = [w for i, w in enumerate(words) if i < 20 and f"s{i % 2}" == r["source"]]
         other = [w for i, w in enumerate(words) if i >= 20 and f"s{i % 2}" == r["source"]]
-        k = sum(any(difflib.SequenceMatcher(None, y, x, autojunk=False).ratio() >= 0.7 for y in other) for x in own)
+        k = sum(any(difflib.SequenceMatcher(None, y, x).ratio() >= 0.7 for y in other) for x in own)
         assert (r["n"], r["k"]) == (len(own), k)
 
 
