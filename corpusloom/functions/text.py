@@ -138,18 +138,34 @@ def strip_fence(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*```[\w-]*\s*\n?", ""), r"\n?\s*```\s*$", ""))
 
 
-#: Lines folded at once: a fold copies what it has gathered with every line.
-FOLDED = 64
-
-
 def join_continuations(text: Column, pairs: bool = True) -> Column:
     """Lines that end in a backslash (blanks may follow it) joined with the next by one space.
 
     With ``pairs`` only an odd number of backslashes counts. A joined line loses the blanks
     around its cuts; a line that holds nothing but its backslash leaves the next as it is,
     and a last line that ends in one loses it.
+
+    A mark is put where a line goes on, and then taken with the blanks around it, in time that
+    follows the text. That is wrong only where what a cut leaves ends in a backslash again
+    and a blank line comes next; texts with such a cut are folded line by line.
     """
+    again = r"(?U)\\[^\S\n]+\\[^\S\n]*\n" if pairs else r"(?U)\\[^\S\n]*\\[^\S\n]*\n"
     lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\r+$", ""))
+    tail = lambda x: F.length(F.regexp_extract(x, r"(?U)(\\*)\s*$", 1))
+    more = (lambda x: tail(x) % 2 == 1) if pairs else (lambda x: tail(x) > 0)
+    less = lambda x: F.regexp_replace(x, r"(?U)\s*\\\s*\z", "")
+    marked = F.array_join(F.transform(lines, lambda x: F.when(more(x), F.concat(less(x), F.lit(CUT))).otherwise(F.concat(x, F.lit("\n")))), "")
+    cuts = rf"(?:{CUT}[^\S\n]*+)+"
+    ended = F.regexp_replace(F.regexp_replace(marked, rf"(?U)[^\S\n]*+{cuts}\z", ""), r"\n\z", "")
+    whole = F.when(F.endswith(marked, F.lit(CUT)), ended).otherwise(F.regexp_replace(marked, r"\n\z", ""))
+    whole = F.regexp_replace(whole, rf"(?Um)^(?:[^\S\n]*+{CUT})+", "")
+    whole = F.regexp_replace(whole, rf"(?U)({CUT}[^\n]*[^\s])[^\S\n]+(?=\n|\z)", "$1")
+    fast = F.regexp_replace(whole, rf"(?U)[^\S\n]*+{cuts}", " ")
+    return F.when(text.rlike(again), _folded_continuations(lines, pairs)).otherwise(fast)
+
+
+def _folded_continuations(lines: Column, pairs: bool) -> Column:
+    """The same, one line at a time."""
     let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
     ends = lambda x: F.regexp_replace(x, r"(?U)\s+$", "")
     tail = lambda x: F.length(F.regexp_extract(x, r"(\\*)$", 1))
@@ -162,15 +178,8 @@ def join_continuations(text: Column, pairs: bool = True) -> Column:
 
         return let(F.when(held["open"] != "", F.concat(held["open"], F.lit(" "), F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))).otherwise(x), of)
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / FOLDED).cast("int")), lambda b: F.slice(lines, b * FOLDED + 1, FOLDED))
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("out"))
-
-    def block(held: Column, part: Column) -> Column:
-        own = F.aggregate(part, F.struct(held["open"].alias("open"), F.lit("").alias("out")), step)
-        return let(own, lambda o: F.struct(o["open"].alias("open"), F.concat(held["out"], F.array(o["out"])).alias("out")))
-
-    whole = F.aggregate(blocks, start, block, lambda s: F.concat(F.array_join(s["out"], ""), F.when(s["open"] != "", F.concat(s["open"], F.lit("\n"))).otherwise("")))
-    return F.regexp_replace(whole, r"\n\z", "")
+    start = F.struct(F.lit("").alias("open"), F.lit("").alias("out"))
+    return F.aggregate(lines, start, step, lambda s: F.regexp_replace(F.concat(s["out"], F.when(s["open"] != "", F.concat(s["open"], F.lit("\n"))).otherwise("")), r"\n\z", ""))
 
 
 def substituted(text: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
