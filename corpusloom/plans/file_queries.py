@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.plans import base as B
 from corpusloom.plans.catalog import query
-from corpusloom.sources import parsers, readers
+from corpusloom.session import shared_path
+from corpusloom.sources import parsers, readers, sinks
 
 
 def _indented(text: str, by: str):
@@ -65,3 +67,25 @@ def _book(spark, d):
     lang = F.when(j == 0, "Console").when(j == 1, "ps1").otherwise("python")
     text = F.concat(F.lit("# "), F.col("url"), F.lit("\n## Use\n```bash\n"), F.replace("html", F.lit("`"), F.lit("")), F.lit("\n```\n# Other\n~~~ "), lang, F.lit("\nls\n~~~"))
     return pages.select(F.concat(top, F.col("page_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text"))
+
+
+@query(f"""SELECT 'sources' AS section, source AS key, count(*) AS n, round(avg(length(text)), 6) AS value FROM documents GROUP BY source
+UNION ALL SELECT 'labels', toxic || '/' || quality, count(*), NULL FROM labels GROUP BY toxic, quality
+UNION ALL SELECT 'addresses', lang, count(*) FILTER (WHERE regexp_matches(text, '{B.IP_SQL}')), round(avg(regexp_matches(text, '{B.IP_SQL}')::INT), 6) FROM documents GROUP BY lang""")
+def q_stats_document(spark, d):
+    """Metric tables as one nested document, written, read back and taken apart."""
+    docs, labels = readers.table(spark, d, "documents"), readers.table(spark, d, "labels")
+    ip = F.col("text").rlike("(?U)" + T.IPV4)
+    document = sinks.stats_document({
+        "sources": docs.groupBy(F.col("source").alias("key")).agg(F.count("*").alias("n"), F.round(F.avg(F.length("text")), 6).alias("value")),
+        "labels": labels.groupBy(F.concat_ws("/", "toxic", "quality").alias("key")).agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("value")),
+        "addresses": docs.groupBy(F.col("lang").alias("key")).agg(F.count_if(ip).alias("n"), F.round(F.avg(ip.cast("int")), 6).alias("value")),
+    })
+    path = shared_path(spark, "stats")
+    sinks.write_document(document, path)
+    back = sinks.read_document(spark, path, document.schema)
+    out = None
+    for name in back.columns:
+        one = back.select(F.lit(name).alias("section"), F.inline(name))
+        out = one if out is None else out.unionByName(one)
+    return out

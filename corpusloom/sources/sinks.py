@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_splits(df: DataFrame, path: str, kind: str = "csv") -> None:
@@ -25,13 +26,43 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def stats_document(sections: dict[str, DataFrame]) -> dict:
-    """Small metric tables as one nested document."""
-    return {name: [r.asDict(recursive=True) for r in df.collect()] for name, df in sections.items()}
+def stats_document(sections: dict[str, DataFrame]) -> DataFrame:
+    """Small metric tables as one nested row: a sorted array of rows for each section. Nothing is collected to build it."""
+    out = None
+    for name, df in sections.items():
+        one = df.agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """The nested row as a JSON file; nulls are kept as such."""
+    document.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_document(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A written document; an error if it does not have one row of the given form."""
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    if df.count() != 1:
+        raise ValueError(f"{path} does not hold one document")
+    return df
 
 
-def write_json(document: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(document, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
+def same_document(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two documents say the same."""
+    return a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def card(title: str, document: DataFrame, headings: dict[str, str]) -> str:
+    """A data card: a table for each named section of a document, with its heading, from the one row that is read."""
+    row = document.first()
+    parts = [f"# {title}"]
+    for name, heading in headings.items():
+        rows = row[name] or []
+        columns = document.schema[name].dataType.elementType.names
+        cells = [[number(v) if isinstance(v, float) else v for v in r] for r in rows]
+        parts += [f"## {heading}", md_table(cells, columns) if cells else "None."]
+    return "\n\n".join(parts) + "\n"
 
 
 def number(value: float | None, digits: int = 4, signed: bool = False) -> str:

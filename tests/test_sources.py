@@ -3,7 +3,8 @@
 import pytest
 
 from corpusloom.operators import pools as P
-from corpusloom.sources import parsers, readers, yamlish
+from corpusloom.session import qualified
+from corpusloom.sources import parsers, readers, sinks, yamlish
 
 GOOD = [
     ("a: 1\nb: two\nc:\n", {"a": 1, "b": "two", "c": None}),
@@ -82,3 +83,34 @@ def test_broken_builds_fail_in_the_write(spark, tmp_path):
     twice = spark.createDataFrame([("a", "s", 1, 1, "x"), ("b", "s", 0, 1, "y"), ("b", "s", 0, 1, "y")], "command string, source string, label int, dataset int, shape string")
     with pytest.raises(Exception, match="chosen twice"):
         P.balanced(twice).collect()
+
+
+CARD = """# Corpus
+
+## Rows per source
+
+| source | n | share |
+| --- | ---: | ---: |
+| a | 3 | 0.7500 |
+| b | 1 | n/a |
+
+## Drops
+
+None.
+"""
+
+
+def test_stats_document_and_card(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 1, None), ("a", 3, 0.75)], "source string, n long, share double")
+    document = sinks.stats_document({"sources": rows, "drops": rows.limit(0)})
+    sinks.write_document(document, str(tmp_path / "stats"))
+    back = sinks.read_document(spark, str(tmp_path / "stats"), document.schema)
+    assert sinks.same_document(document, back) and not sinks.same_document(document, sinks.stats_document({"sources": rows.limit(1), "drops": rows}))
+    assert sinks.card("Corpus", back, {"sources": "Rows per source", "drops": "Drops"}) == CARD
+    sinks.write_document(document.union(document), str(tmp_path / "two"))
+    with pytest.raises(ValueError):
+        sinks.read_document(spark, str(tmp_path / "two"), document.schema)
+
+
+def test_qualified_paths(spark, tmp_path):
+    assert qualified(spark, str(tmp_path)) == f"file://{tmp_path}" == qualified(spark, f"file:{tmp_path}")
