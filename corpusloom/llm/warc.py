@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import shared_path, stored
+from corpusloom.session import qualified, shared_path, stored
 
 REVISIT_BYTES = 1000
 #: Compressed bytes after which a task begins another archive.
@@ -191,9 +191,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write every page's record, then read the archives back."""
-    folder = shared_path(pages.sparkSession, "warc")
-    if "://" not in folder:
-        folder = "file://" + folder
+    folder = qualified(pages.sparkSession, shared_path(pages.sparkSession, "warc"))
     out = read(write(planned(pages, page_id, url, html), folder), folder)
     kind = pages.schema[page_id].dataType
     return out.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url")
