@@ -209,7 +209,15 @@ def split_rows(spark, d):
     return stored(P.group_split(clean_rows(spark, d)), "split")
 
 
-@query()
+_SPLIT_ROWS_SQL = f"""{_CONFLICT_SQL}, bad AS MATERIALIZED (SELECT command FROM exact UNION SELECT h.command FROM hit h JOIN report r USING (dataset) WHERE is_hit AND r.share > 0.05),
+clean AS MATERIALIZED (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY command ORDER BY source, doc_id, pos) AS k FROM labelled WHERE command NOT IN (SELECT command FROM bad)) WHERE k = 1),
+grp AS MATERIALIZED (SELECT dataset, label, shape, count(*) AS n, row_number() OVER (PARTITION BY dataset, label ORDER BY md5('42|split|' || shape), shape) AS k FROM clean GROUP BY dataset, label, shape),
+go AS (SELECT dataset, label, 0::BIGINT AS k, round_even(sum(n) * {1 - DEFAULT.train_fraction}::DOUBLE, 0)::BIGINT AS room, false AS taken FROM grp GROUP BY dataset, label
+ UNION ALL SELECT go.dataset, go.label, go.k + 1, CASE WHEN grp.n <= room THEN room - grp.n ELSE room END, grp.n <= room FROM go JOIN grp ON grp.dataset = go.dataset AND grp.label = go.label AND grp.k = go.k + 1),
+parted AS (SELECT c.*, CASE WHEN go.taken THEN 'test' ELSE 'train' END AS split FROM clean c JOIN grp USING (dataset, label, shape) JOIN go ON go.dataset = grp.dataset AND go.label = grp.label AND go.k = grp.k)"""
+
+
+@query(f"WITH RECURSIVE {_SPLIT_ROWS_SQL} SELECT dataset, label, split, count(*) AS n, count(DISTINCT shape) AS n_shapes FROM parted GROUP BY ALL")
 def q_group_split(spark, d):
     return split_rows(spark, d).groupBy("dataset", "label", "split").agg(F.count("*").alias("n"), F.count_distinct("shape").alias("n_shapes"))
 
@@ -228,7 +236,7 @@ def q_split_straddle(spark, d):
     return g.crossJoin(b)  # one row each
 
 
-@query()
+@query(f"WITH RECURSIVE {_SPLIT_ROWS_SQL} SELECT printf('d%d_%06d', dataset, row_number() OVER (PARTITION BY dataset ORDER BY md5('42|ids|' || command), command) - 1) AS id, command, label, source, split FROM parted")
 def q_output_rows(spark, d):
     """The final rows of a build with their seeded ids; checked() fails where an invariant is broken."""
     return P.with_ids(P.checked(split_rows(spark, d))).select("id", "command", "label", "source", "split")
