@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import rules as R
 from corpusloom.functions import text as T
 from corpusloom.plans import base as B
 from corpusloom.plans.catalog import query
@@ -89,3 +90,19 @@ def q_stats_document(spark, d):
         one = back.select(F.lit(name).alias("section"), F.inline(name))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_OS = "CASE page_id % 4 WHEN 0 THEN ['linux'] WHEN 1 THEN ['macos'] WHEN 2 THEN ['linux', 'macos'] END"
+_SAID = "CASE WHEN page_id % 6 = 0 THEN 'echo done' ELSE 'curl ' || url END"
+
+
+@query(f"""WITH r AS (SELECT {_OS} AS p, {_SAID} AS c, page_id % 6 = 0 AS e FROM pages)
+SELECT 'all' AS subset, count(DISTINCT c) AS n FROM r UNION ALL SELECT 'no_status_echo', count(DISTINCT c) FROM r WHERE NOT e
+UNION ALL SELECT 'linux', count(DISTINCT c) FROM r WHERE NOT e AND (p IS NULL OR list_contains(p, 'linux')) UNION ALL SELECT 'macos_only', count(DISTINCT c) FROM r WHERE NOT e AND p = ['macos']""")
+def q_platform_subsets(spark, d):
+    """Distinct commands by the platforms that a technique names, with and without echoes of a status."""
+    i = F.col("page_id") % 4
+    names = F.when(i == 0, F.array(F.lit("linux"))).when(i == 1, F.array(F.lit("macos"))).when(i == 2, F.array(F.lit("linux"), F.lit("macos")))
+    said = F.when(F.col("page_id") % 6 == 0, "echo done").otherwise(F.concat(F.lit("curl "), "url"))
+    rows = readers.table(spark, d, "pages").select(names.alias("platforms"), said.alias("line"))
+    return parsers.platform_subsets(R.passed(rows, R.TECHNIQUE, "line"))

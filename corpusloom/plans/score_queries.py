@@ -215,7 +215,9 @@ def q_difflib_share(spark, d):
     return t.withColumns({"lo": lo, "hi": hi})
 
 
-@query()
+@query(_RATES + f""", v AS (SELECT row_number() OVER (ORDER BY source) - 1 AS at, k / n AS rate FROM r),
+b AS (SELECT d.range AS id, avg(v.rate) AS m FROM range({DEFAULT.bootstrap_rounds}) d, range((SELECT count(*) FROM v)) i JOIN v ON v.at = ('0x' || substr(md5('42|boot|' || d.range || '|' || i.range), 1, 8))::BIGINT % (SELECT count(*) FROM v) GROUP BY d.range)
+SELECT (SELECT count(*) FROM v)::INT AS k, round((SELECT avg(rate) FROM v), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS lo, round(quantile_cont(m, 0.975), 9) AS hi FROM b""")
 def q_bootstrap_mean(spark, d):
     """A percentile bootstrap of the mean of per-source rates: resamples by hash, 2,000 rounds."""
     rates = _rates(spark, d).select((F.col("k") / F.col("n")).alias("rate"), "source")
@@ -223,9 +225,11 @@ def q_bootstrap_mean(spark, d):
     if len(values) < 2:
         return spark.createDataFrame([(len(values), None, None, None)], "k int, mean double, lo double, hi double")
     draws = spark.range(DEFAULT.bootstrap_rounds).select("id", F.explode(F.sequence(F.lit(0), F.lit(len(values) - 1))).alias("i"))
-    pick = F.pmod(F.xxhash64("id", "i", F.lit(DEFAULT.seed)), F.lit(len(values))).cast("int")
+    digest = scoped_hash("boot", F.col("id").cast("string"), F.col("i").cast("string"))
+    pick = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % len(values)).cast("int")
     means = draws.select("id", F.get(F.array(*map(F.lit, values)), pick).alias("v")).groupBy("id").agg(F.avg("v").alias("m"))
-    return means.agg(F.lit(len(values)).alias("k"), F.lit(sum(values) / len(values)).alias("mean"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    end = lambda p: F.round(F.percentile("m", F.lit(p)), 9)
+    return means.agg(F.lit(len(values)).alias("k"), F.lit(round(sum(values) / len(values), 9)).alias("mean"), end(0.025).alias("lo"), end(0.975).alias("hi"))
 
 
 def _sides(spark, d):
@@ -369,7 +373,9 @@ def q_pairwise_separability(spark, d):
     test = F.substring(scoped_hash("sep", F.col("doc_id").cast("string")), 1, 1) < "4"
     docs = readers.table(spark, d, "documents").select(F.col("text").alias("command"), "lang", "doc_id", test.alias("test"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(scoped_hash("pair", F.col("doc_id").cast("string")), "doc_id"))
-    docs = stored(docs.withColumn("_rank", rank).where(F.col("_rank") <= DEFAULT.separability_cap).drop("_rank"), "sides")
+    # ranks are made of ids alone, so no window holds a text
+    few = docs.select("doc_id", "lang").withColumn("_rank", rank).where(F.col("_rank") <= DEFAULT.separability_cap).select("doc_id")
+    docs = stored(docs.join(few, "doc_id", "left_semi"), "sides")
     sizes = {r["lang"]: (r["train"], r["test"]) for r in docs.groupBy("lang").agg(F.count_if(~F.col("test")).alias("train"), F.count_if("test").alias("test")).collect()}  # a row per side
     good = sorted(x for x, (a, b) in sizes.items() if x is not None and a >= DEFAULT.separability_min_train and b >= DEFAULT.separability_min_test)
 

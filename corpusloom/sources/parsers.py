@@ -203,3 +203,19 @@ def front_matter_codes(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "pos", "command"])
 
     return files.select("path", "content").mapInPandas(run, "path string, pos int, command string")
+
+
+def platform_subsets(lines: DataFrame, bank_reason: str = "reason") -> DataFrame:
+    """(subset, n): distinct kept commands of technique files in all, without status echoes, for Linux (or containers, or no platform named), and for macOS alone.
+
+    ``lines`` has platforms, clean and the reason that the technique bank gives; an echo of a status is kept in the first subset only.
+    """
+    reason, p = F.col(bank_reason), F.coalesce("platforms", F.array().cast("array<string>"))
+    echo = reason.eqNullSafe(F.lit("status_echo"))
+    rows = lines.where(reason.isNull() | echo)
+    linux = F.array_contains(p, "linux") | F.array_contains(p, "containers") | (F.size(p) == 0)
+    subsets = {"all": F.lit(True), "no_status_echo": ~echo, "linux": ~echo & linux, "macos_only": ~echo & (p == F.array(F.lit("macos")))}
+    told = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in subsets.items()]))
+    counts = rows.select("clean", F.explode(told).alias("subset")).groupBy("subset").agg(F.count_distinct("clean").alias("n"))
+    names = lines.sparkSession.createDataFrame([(n,) for n in subsets], "subset string")
+    return names.join(counts, "subset", "left").select("subset", F.coalesce("n", F.lit(0)).alias("n"))
