@@ -158,8 +158,8 @@ def join_continuations(text: Column, pairs: bool = True) -> Column:
     cuts = rf"(?:{CUT}[^\S\n]*+)+"
     ended = F.regexp_replace(F.regexp_replace(marked, rf"(?U)[^\S\n]*+{cuts}\z", ""), r"\n\z", "")
     whole = F.when(F.endswith(marked, F.lit(CUT)), ended).otherwise(F.regexp_replace(marked, r"\n\z", ""))
-    whole = F.regexp_replace(whole, rf"(?Um)^(?:[^\S\n]*+{CUT})+", "")
-    whole = F.regexp_replace(whole, rf"(?U)({CUT}[^\n]*[^\s])[^\S\n]+(?=\n|\z)", "$1")
+    whole = F.regexp_replace(whole, rf"(?U)(?<![^\n])(?:[^\S\n]*+{CUT})+", "")
+    whole = F.regexp_replace(whole, rf"(?U)(?<![^\n])([^\n{CUT}]*+{CUT}[^\n]*[^\s])[^\S\n]++(?=\n|\z)", "$1")
     fast = F.regexp_replace(whole, rf"(?U)[^\S\n]*+{cuts}", " ")
     return F.when(text.rlike(again), _folded_continuations(lines, pairs)).otherwise(fast)
 
