@@ -23,7 +23,7 @@ from corpusloom.session import stored
 from corpusloom.sources import readers
 
 #: Fits that run at a time.
-FITS = 4
+FITS = 8
 Z = DEFAULT.z95
 
 
