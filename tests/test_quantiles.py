@@ -1,0 +1,18 @@
+"""Queries over lengths against their SQL, on counts of every remainder."""
+
+import duckdb
+
+from corpusloom import plans
+
+
+def test_length_quantiles_of_every_count_are_the_sql_s(spark, tmp_path):
+    rows = [(f"s{n}", "x" * (7 * i % 11), i) for n in range(1, 14) for i in range(n)]
+    rows += [("nulls", None if i % 3 else "y" * i, i) for i in range(9)] + [("lone", None, 0), (None, "z", 1), (None, "zz", 2)]
+    spark.createDataFrame(rows, "source string, text string, doc_id long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.QUERIES["q_length_quantiles"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = con.execute(plans.ORACLE["q_length_quantiles"])
+    names = [c[0] for c in found.description]
+    wanted = [tuple(r[names.index(c)] for c in got.columns) for r in found.fetchall()]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(wanted, key=repr)
