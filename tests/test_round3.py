@@ -1,8 +1,12 @@
-"""Queries over lengths against their SQL, on counts of every remainder."""
+"""Lengths against their SQL, on counts of every remainder; what a pool computes once."""
 
 import duckdb
 
+from pyspark.sql import functions as F
+
 from corpusloom import plans
+from corpusloom.functions import text as T
+from corpusloom.sources import readers
 
 
 def test_length_quantiles_of_every_count_are_the_sql_s(spark, tmp_path):
@@ -16,3 +20,9 @@ def test_length_quantiles_of_every_count_are_the_sql_s(spark, tmp_path):
     names = [c[0] for c in found.description]
     wanted = [tuple(r[names.index(c)] for c in got.columns) for r in found.fetchall()]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(wanted, key=repr)
+
+
+def test_pool_normalises_once(spark):
+    rows = spark.createDataFrame([("a b http://x.y/z", 0, "p")], "raw string, pos int, path string")
+    mentions = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(T.URL_HOST)
+    assert mentions(readers.pooled(rows)) <= mentions(rows.select(T.normalize(F.col("raw"))))
