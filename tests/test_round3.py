@@ -1,11 +1,14 @@
 """Lengths against their SQL, on counts of every remainder; what a pool computes once."""
 
+import time
+
 import duckdb
 
 from pyspark.sql import functions as F
 
 from corpusloom import plans
 from corpusloom.functions import text as T
+from corpusloom.session import CLEANUP, stored
 from corpusloom.sources import readers
 
 
@@ -26,3 +29,15 @@ def test_pool_normalises_once(spark):
     rows = spark.createDataFrame([("a b http://x.y/z", 0, "p")], "raw string, pos int, path string")
     mentions = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(T.URL_HOST)
     assert mentions(readers.pooled(rows)) <= mentions(rows.select(T.normalize(F.col("raw"))))
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    shuffles = lambda: {x for x in files().split() if "/shuffle_" in x}
+    before, own = shuffles(), spark.conf.get(CLEANUP, "false")
+    stored(spark.range(1000).repartition(3, "id"), "few")
+    for _ in range(50):  # files go in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(CLEANUP, "false") == own
