@@ -8,6 +8,7 @@ table is read once, and counts per rule and per change are sums over it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -188,10 +189,24 @@ def unicode_pattern(pattern: str) -> str:
     return "(?iU)" + pattern.removeprefix(IGNORE) if pattern.startswith(IGNORE) else "(?U)" + pattern
 
 
-def fails(test: Test, s: Column) -> Column:
+#: What a class or boundary of the patterns means where only ASCII counts.
+_ASCII = {r"\b": r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))", r"\w": "A-Za-z0-9_", r"\d": "0-9", r"\s": r"\t\n\f\r "}
+
+
+def ascii_pattern(pattern: str) -> str:
+    """The pattern with boundaries and classes that know ASCII alone, as SQL's dialect reads it: an accented letter ends a word."""
+    flags, rest = ("(?diu)", pattern.removeprefix(IGNORE)) if pattern.startswith(IGNORE) else ("(?d)", pattern)
+    out, inside = [], False
+    for t in re.findall(r"\\.|.", rest, re.DOTALL):
+        inside = (inside or t == "[") and t != "]"
+        out.append(t if t not in _ASCII else _ASCII[t] if inside or t == r"\b" else f"[{_ASCII[t]}]")
+    return flags + "".join(out)
+
+
+def fails(test: Test, s: Column, read: Callable[[str], str] = unicode_pattern) -> Column:
     found = None
     for p in test.patterns:
-        hit = s.rlike(unicode_pattern(p))
+        hit = s.rlike(read(p))
         found = hit if found is None else found | hit
     if test.absent:
         found = ~found
@@ -203,10 +218,10 @@ def fails(test: Test, s: Column) -> Column:
         found = F.length(s) > test.longer
     if test.open_quote:
         found = T.unterminated_quote(s)
-    return found & ~s.rlike(unicode_pattern(test.unless)) if test.unless else found
+    return found & ~s.rlike(read(test.unless)) if test.unless else found
 
 
-def changed(change: Change, s: Column) -> Column:
+def changed(change: Change, s: Column, read: Callable[[str], str] = unicode_pattern) -> Column:
     if change.comment:
         return T.strip_comment(s)
     if change.values:
@@ -214,7 +229,7 @@ def changed(change: Change, s: Column) -> Column:
         filled: Callable[[Column], Column] = lambda m: F.coalesce(F.try_element_at(table, m), m)
         return F.when(s.rlike(PLACEHOLDER), T.replace_each(s, PLACEHOLDER, filled)).otherwise(s)
     for pattern, into in change.patterns:
-        s = F.regexp_replace(s, unicode_pattern(pattern), into)
+        s = F.regexp_replace(s, read(pattern), into)
     return s
 
 
@@ -223,16 +238,16 @@ def counted(bank: tuple[Test | Change, ...]) -> list[str]:
     return [x.name for x in bank if isinstance(x, Change) and x.name]
 
 
-def passed(df: DataFrame, bank: tuple[Test | Change, ...], column: str) -> DataFrame:
-    """``df`` with clean, reason and changes (a flag for each counted change, of lines that came so far)."""
+def passed(df: DataFrame, bank: tuple[Test | Change, ...], column: str, read: Callable[[str], str] = unicode_pattern) -> DataFrame:
+    """``df`` with clean, reason and changes (a flag for each counted change, of lines that came so far). ``read`` says what the patterns' classes mean."""
     out = df.withColumns({"_s0": F.col(column), "_r0": F.lit(None).cast("string")})
     n, flags, reason = 0, [], F.lit(None).cast("string")
     for step in bank:
         if isinstance(step, Test):
-            reason = F.coalesce(reason, F.when(fails(step, F.col(f"_s{n}")), step.reason))
+            reason = F.coalesce(reason, F.when(fails(step, F.col(f"_s{n}"), read), step.reason))
             continue
         # what is known by now becomes a column of its own, so that no step is computed twice
-        out = out.withColumns({f"_s{n + 1}": changed(step, F.col(f"_s{n}")), f"_r{n + 1}": F.coalesce(F.col(f"_r{n}"), reason)})
+        out = out.withColumns({f"_s{n + 1}": changed(step, F.col(f"_s{n}"), read), f"_r{n + 1}": F.coalesce(F.col(f"_r{n}"), reason)})
         n, reason = n + 1, F.col(f"_r{n + 1}")
         if step.name:
             flags.append(F.col(f"_r{n}").isNull() & (F.col(f"_s{n}") != F.col(f"_s{n - 1}")))
@@ -240,9 +255,9 @@ def passed(df: DataFrame, bank: tuple[Test | Change, ...], column: str) -> DataF
     return out.drop(*[f"_{c}{i}" for c in "sr" for i in range(n + 1)])
 
 
-def rule_counts(df: DataFrame, bank: tuple[Test | Change, ...], column: str) -> DataFrame:
+def rule_counts(df: DataFrame, bank: tuple[Test | Change, ...], column: str, read: Callable[[str], str] = unicode_pattern) -> DataFrame:
     """(kind, name, n): lines kept, lines dropped for each reason, and lines that each counted change rewrote; one pass."""
-    rows = passed(df, bank, column)
+    rows = passed(df, bank, column, read)
     names = counted(bank)
     told = F.concat(
         F.array(F.when(F.col("reason").isNull(), F.struct(F.lit("kept").alias("kind"), F.lit("kept").alias("name"))).otherwise(F.struct(F.lit("dropped").alias("kind"), F.col("reason").alias("name")))),
