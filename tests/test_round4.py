@@ -1,9 +1,14 @@
-"""Rule banks against their SQL on accented letters."""
+"""Rule banks against their SQL on accented letters; the fingerprint with and without its short path."""
+
+import random
 
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusloom import plans
+from corpusloom.functions import shape as shapes
 
 
 def against_sql(spark, tmp_path, name, rows, schema="doc_id long, text string, lang string, source string"):
@@ -23,3 +28,22 @@ def test_rule_banks_end_a_word_where_the_sql_does(spark, tmp_path, name):
     texts = ["doñadoque. | cióna", "if doíado, Elñja", "for asído ído", "if x Ñdo\nfié", "netü use", "École x y...", "éATTACKER à", "a été..."]
     got, wanted = against_sql(spark, tmp_path, name, [(44 * i + k, t, "es", "s") for i, t in enumerate(texts) for k in range(44)])
     assert got == wanted
+
+
+def test_segments_that_begin_with_a_command_need_no_fold(spark):
+    r = random.Random(4)
+    words = ["sudo", "env", "export", "A=1", "x+=b", "-u", "root", "nice", "10", "ls", "/usr/bin/env", "/tmp/abc1", "for", "i", "in", "$x", "'a b'", "deadbeef99", "a1B2c3D4", "BCDFGH", "ABC1", "foo=bar", "declare", "é9", "QUJDREVGR0hJSktM==", "time", "if", "\u0663\u0663"]
+    commands = ["".join(x for _ in range(r.randint(0, 9)) for x in (r.choice(words), r.choice([" ", " ", "  ", ";", " | ", "&&", "\n", "$(", "}"]))) for _ in range(3000)]
+    rows = spark.createDataFrame([(c,) for c in [*commands, "", None]], "c string")
+    both = rows.select("c", shapes.shape(F.col("c")).alias("a"), shapes.shape(F.col("c"), shapes.folded).alias("b"))
+    assert not both.where("not a <=> b").take(3)
+
+
+def test_the_fingerprint_folds_no_plain_command(spark):
+    rows = spark.createDataFrame([("cp zq1B2c3D4 b",)], "c string")
+    fail = lambda segment: F.raise_error(F.lit("folded"))
+    own, shapes.folded = shapes.folded, fail
+    try:
+        assert rows.select(shapes.shape(F.col("c"))).first()[0] == "cp R b"
+    finally:
+        shapes.folded = own
