@@ -17,6 +17,7 @@ their own. An empty table gives no rows.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,12 @@ END = 1
 BUCKET_ROWS = 1 << 16
 BUCKETS = 64
 #: Entries that a worker's word caches hold before they start anew.
-CACHE = 250_000
+CACHE = 500_000
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordTokenizer:
@@ -66,16 +72,21 @@ class WordTokenizer:
             if len(self.parts) >= CACHE:
                 self.parts.clear()
             mapped = piece if piece.isascii() else "".join([self.byte[b] for b in piece.encode()])
-            got = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            got = _packed([t.id for t in self.model.tokenize(mapped)])
             if len(piece) < 40:
                 self.parts[piece] = got
         return got
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():  # one piece, which need not be kept apart from its word
+            return self._kept(word, _packed([t.id for t in self.model.tokenize(word.lower())]))
         if self.plain(word) and "<|" not in word:
             got = b"".join([self._part(p) for p in self.pieces(word.lower())])
         else:
-            got = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            got = _packed(self.whole.encode(word, add_special_tokens=False).ids)
+        return self._kept(word, got)
+
+    def _kept(self, word: str, got: bytes) -> bytes:
         if len(word) < 40:
             if len(self.words) >= CACHE:
                 self.words.clear()

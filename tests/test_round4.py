@@ -3,12 +3,15 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from corpusloom import plans
 from corpusloom.functions import shape as shapes
+from corpusloom.llm import packing
+from corpusloom.llm.queries import tokenizer_path
 
 
 def against_sql(spark, tmp_path, name, rows, schema="doc_id long, text string, lang string, source string"):
@@ -47,3 +50,13 @@ def test_the_fingerprint_folds_no_plain_command(spark):
         assert rows.select(shapes.shape(F.col("c"))).first()[0] == "cp R b"
     finally:
         shapes.folded = own
+
+
+def test_a_word_of_letters_is_kept_once_and_has_the_library_s_ids():
+    t = packing.WordTokenizer(tokenizer_path())
+    words = ["Hello", "strngthq", "ABC", "x1", "ciónlloc,", "don't", "a" * 50, "ſ", "K", "<|im_end|>"]
+    for w in words * 2:
+        assert np.frombuffer(t.ids(w), "<u4").tolist() == t.whole.encode(w, add_special_tokens=False).ids
+    t = packing.WordTokenizer(tokenizer_path())
+    t.ids("Hello strngthq")
+    assert len(t.words) == 2 and not t.parts
