@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import tiles
 from corpusloom.operators.nearest import nearest_train
@@ -64,3 +65,32 @@ def test_shared_pieces_within_reach(before, after):
             assert pairs <= k
     if (before, after) == (0, 0):
         assert all(k == sum(x[i : i + 2] == y[i : i + 2] for i in range(min(len(x), len(y)) - 1)) for x, row in zip(a, both, strict=True) for y, k in zip(b, row, strict=True))
+
+
+def test_guards_ask_what_the_patterns_asked(spark):
+    from corpusloom.functions import text as T
+
+    blanks = r" {2}|[\t-\r\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    rows = spark.range(1, 0x3100).select(F.concat(F.lit("aé b"), F.decode(F.encode(F.from_json(F.format_string('["\\u%04x"]', "id"), "array<string>")[0], "utf-8"), "utf-8"), F.lit("c")).alias("t"))
+    rows = rows.unionByName(spark.createDataFrame([("a  b",), ("a b",), ("",), ("\t",), ("  ",)], "t string"))
+    t = F.col("t")
+    differ = rows.where((T.has_runs(t) != t.rlike(blanks)) | (T.unclean(t) != t.rlike(rf"[\x00-\x1f\x7f{T.SMART_QUOTES}]")))
+    assert rows.where(T.has_runs(t)).count() > 20 and differ.count() == 0
+
+
+def test_fingerprint_is_asked_of_labelled_rows_alone(spark, tmp_path, monkeypatch):
+    from corpusloom.plans import base as B
+
+    spark.createDataFrame([(i, f"ls /tmp/x{i}\nid", "en", "s") for i in range(9)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (4, 0, 0)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    written, keep = [], B.stored
+
+    def watched(d, name):
+        out = keep(d, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(B, "stored", watched)
+    got = {(r["command"], r["doc_id"], r["label"]) for r in B.labelled(spark, str(tmp_path)).collect()}
+    assert got == {("ls /tmp/x0", 0, 1), ("id", 0, 1), ("ls /tmp/x4", 4, 0)}
+    assert written == [3]
